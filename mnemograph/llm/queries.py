@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemograph.llm import leakage
+from mnemograph.llm import leakage, pieces
 from mnemograph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,25 @@ SELECT doc_id, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) - min(pos)
   list_sort(list(DISTINCT sample_id)) AS sample_ids
 FROM span GROUP BY doc_id, k
 """
+
+
+# problem 5
+
+
+@_query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_tables(spark, sf_dir, with_text=False).where("piece = 0").select("table_name", "item_id")
+
+
+@_query
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_tables(spark, sf_dir)
+
+
+SQL["p5_found"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS table_name, {item_id} AS item_id
+    FROM {name}, (SELECT min(max_tokens) AS most FROM size_limits WHERE table_name = '{name}' AND field_name = '{field}')
+    WHERE floor((8 * (length({field}) - length(regexp_replace({field}, '[一-鿿]', '', 'g')))
+      + 3 * length(regexp_replace({field}, '[一-鿿]', '', 'g'))) / 12) > most"""
+    for name, item_id, field in pieces.ITEMS
+)
