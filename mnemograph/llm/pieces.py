@@ -145,7 +145,8 @@ def split_oversized(items: DataFrame, item_id: str, text: str, max_tokens: int,
 
     content = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("content"))
     over = content.where(F.col("content").isNotNull() & (size_column(F.col("content")) > max_tokens))
-    cutted = over.select("item_id", cut("content").alias("p"))
+    # not deterministic for the planner only: it must not evaluate the cut once for each use
+    cutted = over.select("item_id", cut.asNondeterministic()("content").alias("p"))
     rows = cutted.select("item_id", F.size("p").alias("n_pieces"), F.posexplode("p").alias("piece", "p"))
     columns = ["start", "end", "size"] + ["text"] * with_text
     return rows.select("item_id", "piece", "n_pieces", *(F.col(f"p.{c}").alias(c) for c in columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemograph.llm import leakage, pieces
+from mnemograph.llm import leakage, mixing, near_duplicates, pieces
 from mnemograph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,46 @@ SQL["p5_found"] = " UNION ALL ".join(
       + 3 * length(regexp_replace({field}, '[一-鿿]', '', 'g'))) / 12) > most"""
     for name, item_id, field in pieces.ITEMS
 )
+
+
+# problem 4
+
+
+def _sample_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "sample_corpus"), "idx", ["title", "text"], width=3, threshold=0.6)
+
+
+@_query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.pairs_in_groups(_sample_groups(spark, sf_dir), "idx")
+
+
+@_query
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample_groups(spark, sf_dir).withColumnRenamed("id", "idx")
+
+
+_P4_GROUPS = r"""
+words AS (SELECT idx, regexp_extract_all(lower(concat(coalesce(title, ''), ' ', coalesce(text, ''))), '[\p{L}\p{N}]+') AS w FROM sample_corpus),
+run AS (SELECT DISTINCT idx, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT idx, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
+sizes AS (SELECT idx, count(*) AS n FROM run GROUP BY idx),
+shared AS (SELECT a.idx AS a, b.idx AS b, count(*) AS o FROM run a JOIN run b USING (g) WHERE a.idx < b.idx GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN sizes x ON x.idx = a JOIN sizes y ON y.idx = b WHERE o / (x.n + y.n - o) >= 0.6),
+edge AS (SELECT a AS u, b AS v FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT u AS root, u AS v FROM edge UNION SELECT r.root, e.v FROM reach r JOIN edge e ON e.u = r.v),
+member AS (SELECT v AS idx, min(root) AS group_id FROM reach GROUP BY v)"""
+
+SQL["p4_found"] = f"WITH RECURSIVE {_P4_GROUPS} SELECT a.idx AS idx_a, b.idx AS idx_b FROM member a JOIN member b USING (group_id) WHERE a.idx < b.idx"
+
+
+# problem 7
+
+
+@_query
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@_query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
