@@ -25,6 +25,8 @@ from mnemograph.operators.components import connected_components
 from mnemograph.session import cut
 
 SKETCH_BITS = 19
+_CHUNK = 4096
+_OUTLINE = 256
 #: copies of one text up to which all their pairs are listed; beyond, each is paired with the first
 COPIES_IN_PAIRS = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -151,6 +153,36 @@ def _sketch(batches: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.DataFram
     yield pd.DataFrame({"kind": kind.astype(np.int32), "bucket": bucket.astype(np.int32), "n": counts[kind, bucket]})
 
 
+def _packed(counts: pd.DataFrame) -> pd.DataFrame:
+    """A chunk of the sketch as bytes on a logarithmic scale, which is enough for prices."""
+    cells = np.zeros(_CHUNK, np.int64)
+    cells[counts.bucket.to_numpy() % _CHUNK] = counts.n
+    scaled = np.minimum(255, np.round(8 * np.log2(1 + cells))).astype(np.uint8)
+    return pd.DataFrame({"chunk": [int(counts.chunk.iloc[0])], "cells": [scaled.tobytes()]})
+
+
+def _prices(filled: DataFrame, plan: Plan) -> np.ndarray:
+    """The sketch: a byte for each bucket, of full and of deleted signatures."""
+    counted = filled.mapInPandas(partial(_sketch, plan=plan), "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    chunk = (F.col("kind") * F.lit((1 << SKETCH_BITS) // _CHUNK) + F.floor(F.col("bucket") / _CHUNK)).cast("int")
+    chunks = counted.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(_packed, "chunk int, cells binary").collect()
+    prices = np.zeros((2 << SKETCH_BITS) // _CHUNK * _CHUNK, np.uint8)  # of this size, whatever the number of sets
+    for row in chunks:
+        prices[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(row.cells, np.uint8)
+    return prices.reshape(2, -1)
+
+
+def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Size and a parity bitmap of each set: in as many bits as two bitmaps differ, the sets differ at least."""
+    for batch in batches:
+        tokens, sizes = _flat(batch.grams)
+        owner = np.repeat(np.arange(len(batch)), sizes)
+        bit = (_mix(tokens) >> np.uint64(50)).astype(np.int64) % _OUTLINE
+        odd = np.bincount(owner * _OUTLINE + bit, minlength=len(batch) * _OUTLINE) & 1
+        words = np.packbits(odd.astype(np.uint8).reshape(len(batch), _OUTLINE), axis=1).view(np.int64)
+        yield pd.DataFrame({"id": batch.id, "n": sizes.astype(np.int32)} | {f"w{k}": words[:, k] for k in range(words.shape[1])})
+
+
 def _allocate(one: np.ndarray, two: np.ndarray, need: int) -> np.ndarray:
     """Tolerance 0, 1 or 2 of each segment with a sum of at least ``need``, cheaply.
 
@@ -175,7 +207,8 @@ def _allocate(one: np.ndarray, two: np.ndarray, need: int) -> np.ndarray:
 
 
 def _probe(batches: Iterator[pd.DataFrame], plan: Plan, sketch) -> Iterator[pd.DataFrame]:
-    full_count, deleted_count = sketch.value
+    scale = np.exp2(np.arange(256) / 8) - 1
+    full_count, deleted_count = (lambda b: scale[sketch.value[0][b]]), (lambda b: scale[sketch.value[1][b]])
     for batch in batches:
         tokens, sizes = _flat(batch.grams)
         owner_of = np.repeat(np.arange(len(batch)), sizes)
@@ -192,10 +225,10 @@ def _probe(batches: Iterator[pd.DataFrame], plan: Plan, sketch) -> Iterator[pd.D
             mine = local[owner_of] >= 0
             m = plan.count(band)
             s = Segments(tokens[mine], local[owner_of[mine]], len(chosen), band, m)
-            reached = full_count[_buckets(s.full)].astype(float)
-            by_deletion = np.bincount(s.cell, full_count[_buckets(s.deleted)] + 1.0, minlength=len(s.full))
+            reached = full_count(_buckets(s.full))
+            by_deletion = np.bincount(s.cell, full_count(_buckets(s.deleted)) + 1.0, minlength=len(s.full))
             one = 1 + reached
-            two = 2 + reached + deleted_count[_buckets(s.full)] + by_deletion
+            two = 2 + reached + deleted_count(_buckets(s.full)) + by_deletion
             tolerance = _allocate(one.reshape(-1, m), two.reshape(-1, m), need).ravel()
             whole = np.flatnonzero(tolerance > 0)
             yield _rows(s.full[whole], False, ids[chosen[whole // m]], sizes[chosen[whole // m]])
@@ -215,11 +248,7 @@ def similar_sets(sets: DataFrame, threshold: float, band_ratio: float = 1.3, seg
     spark = sets.sparkSession
     plan = Plan(threshold, band_ratio, segments)
     filled = sets.where(F.size("grams") > 0).select("id", "grams")
-    counted = filled.mapInPandas(partial(_sketch, plan=plan), "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)  # of a fixed size, whatever the number of sets
-    seen = counted.toPandas()
-    counts[seen.kind, seen.bucket] = seen.n
-    shared = spark.sparkContext.broadcast((counts[0], counts[1]))
+    shared = spark.sparkContext.broadcast(_prices(filled, plan))
     indexed = filled.mapInPandas(partial(_index, plan=plan), _SIGNATURES)
     probing = filled.mapInPandas(partial(_probe, plan=plan, sketch=shared), _SIGNATURES)
     r, s = indexed.alias("r"), probing.alias("s")
@@ -230,10 +259,16 @@ def similar_sets(sets: DataFrame, threshold: float, band_ratio: float = 1.3, seg
         .select(F.least("r.id", "s.id").alias("a"), F.greatest("r.id", "s.id").alias("b"))
         .distinct()
     )
+    words = [f"w{k}" for k in range(_OUTLINE // 64)]
+    outlines = cut(filled.mapInPandas(_outlines, "id bigint, n int, " + ", ".join(f"{w} bigint" for w in words)))
+    x, y = outlines.alias("x"), outlines.alias("y")
+    differing = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
+    allowed = F.lit((1 - threshold) / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) + 1e-9
+    close = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(differing <= allowed).select("a", "b")
     left = filled.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
     right = filled.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
     common = F.size(F.array_intersect("grams_a", "grams_b"))
-    verified = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("shared"), (F.size("grams_a") + F.size("grams_b")).alias("both"))
+    verified = close.join(left, "a").join(right, "b").select("a", "b", common.alias("shared"), (F.size("grams_a") + F.size("grams_b")).alias("both"))
     similarity = F.col("shared") / (F.col("both") - F.col("shared"))
     return verified.select("a", "b", "shared", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 

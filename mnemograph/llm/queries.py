@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemograph.llm import leakage, mixing, near_duplicates, pieces
+from mnemograph.llm import leakage, mixing, near_duplicates, neighbours, pieces
 from mnemograph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,41 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+# problem 2
+
+VECTOR_FIELDS = ("content_vector", "title_vector")
+
+
+@_query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "event_vectors"), VECTOR_FIELDS, k=5, min_score=0.9)
+
+
+@_query
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "event_vectors")
+    near = [neighbours.similar_events(events, field, k=5) for field in VECTOR_FIELDS]
+    return near[0].unionByName(near[1])
+
+
+_P2_NEAR = " UNION ALL ".join(
+    f"""SELECT '{field}' AS vector_field, a.event_id, b.event_id AS other_id,
+      (1 + list_cosine_similarity(a.v, b.v)) / 2 AS score,
+      row_number() OVER (PARTITION BY a.event_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.event_id) AS place
+    FROM (SELECT event_id, v FROM latest WHERE field = '{field}') a, (SELECT event_id, v FROM latest WHERE field = '{field}') b
+    WHERE a.event_id <> b.event_id"""
+    for field in VECTOR_FIELDS
+)
+_P2_LATEST = " UNION ALL ".join(
+    f"""SELECT '{field}' AS field, event_id, CAST(v AS DOUBLE[]) AS v
+    FROM (SELECT event_id, arg_max({field}, created_time) AS v, arg_max(is_delete, created_time) AS gone FROM event_vectors GROUP BY event_id)
+    WHERE NOT gone AND len(v) = 128 AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"""
+    for field in VECTOR_FIELDS
+)
+SQL["p2_found"] = f"""
+WITH latest AS ({_P2_LATEST}), near AS ({_P2_NEAR})
+SELECT DISTINCT vector_field, least(event_id, other_id) AS event_id_a, greatest(event_id, other_id) AS event_id_b
+FROM near WHERE place <= 5 AND score >= 0.9
+"""

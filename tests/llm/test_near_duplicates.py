@@ -32,8 +32,8 @@ def test_pigeonhole_finds_similar(base, data):
     plan = nd.Plan(t)
     h = lambda s: np.sort(nd._mix(np.array(sorted(s), np.uint64) + np.uint64(7)).view(np.int64))
     small, large = sorted([base, other], key=len)
-    noise = np.random.default_rng(len(base)).integers(0, 1000, (2, 1 << nd.SKETCH_BITS))
-    sketch = type("B", (), {"value": (noise[0], noise[1])})
+    noise = np.random.default_rng(len(base)).integers(0, 90, (2, 1 << nd.SKETCH_BITS)).astype(np.uint8)
+    sketch = type("B", (), {"value": noise})
     i = pd.concat(nd._index(iter([pd.DataFrame({"id": [1], "grams": [h(small)]})]), plan))
     p = pd.concat(nd._probe(iter([pd.DataFrame({"id": [2], "grams": [h(large)]})]), plan, sketch))
     assert set(i.sig) & set(p.sig)
