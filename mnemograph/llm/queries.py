@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mnemograph.llm import leakage, mixing, near_duplicates, neighbours, pieces
+from mnemograph.llm import leakage, mixing, names, near_duplicates, neighbours, pieces
 from mnemograph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +164,20 @@ WITH latest AS ({_P2_LATEST}), near AS ({_P2_NEAR})
 SELECT DISTINCT vector_field, least(event_id, other_id) AS event_id_a, greatest(event_id, other_id) AS event_id_b
 FROM near WHERE place <= 5 AND score >= 0.9
 """
+
+
+# problem 1
+
+
+@_query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = names.linked_names(table(spark, sf_dir, "sag2_entity"))
+    # copies of one spelling are a class, named by the first entity
+    first = linked.groupBy("spelling").agg(F.min("entity_id").alias("class_id"))
+    groups = linked.join(first, "spelling").select(F.col("entity_id").alias("id"), "class_id", "group_id")
+    return near_duplicates.pairs_in_groups(groups, "entity_id")
+
+
+@_query
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_names(table(spark, sf_dir, "sag2_entity"))
