@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemograph.llm import leakage, mixing, names, near_duplicates, neighbours, pieces
+from mnemograph.llm import leakage, mixing, names, near_duplicates, neighbours, pair_defects, pieces
 from mnemograph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_names(table(spark, sf_dir, "sag2_entity"))
+
+
+# problem 3
+
+
+def _sample_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: table(spark, sf_dir, name) for name in ("generation_samples", "retrieval_samples")}
+
+
+@_query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects.defective_pairs(_sample_tables(spark, sf_dir))
+
+
+@_query
+def p3_clause_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects.tagged_defects(_sample_tables(spark, sf_dir))
