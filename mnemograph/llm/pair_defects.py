@@ -320,6 +320,10 @@ def _damaged(rows: list, rng: np.random.Generator) -> list[tuple[str, str, list[
                 n_echo = len(clauses(question, question))
                 tags = [REFUSAL] * (len(clauses(text, question)) - n_echo) + [ECHO] * n_echo
             out.append((question, text, tags))
+        elif kind == 4:  # a bare name or number is an answer
+            bare = re.findall(r"[A-Z]\w+(?: [A-Z]\w+)*|\d+|[一-鿿]{2,6}", answer)
+            if bare:
+                out.append((question, bare[int(rng.integers(len(bare)))], [ANSWER]))
     return [(q, a, t) for q, a, t in out if len(t) == len(clauses(a, q)) <= TRAINING_CLAUSES]
 
 
