@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemograph.llm import leakage, mixing, names, near_duplicates, neighbours, pair_defects, pieces
+from mnemograph.llm import leakage, mixing, names, near_duplicates, neighbours, pair_defects, pieces, subjects
 from mnemograph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def p3_clause_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.tagged_defects(_sample_tables(spark, sf_dir))
+
+
+# problem 8
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
+@_query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+@_query
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, sf_dir), table(spark, sf_dir, "subject_areas"))
