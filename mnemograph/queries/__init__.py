@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mnemograph.queries import scalars  # noqa: F401
 from mnemograph.queries.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
