@@ -97,7 +97,7 @@ def normalize_answer(text: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[.!?]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "[.!?]+"), F.trim), lambda s: s.rlike(r"\S"))
 
 
 def section_text(heading: Column, content: Column) -> Column:

@@ -17,7 +17,7 @@ SELECT doc_id, md5(text) AS text_md5,
   length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g')) AS n_cjk,
   CAST(floor((8 * (length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g'))) + 3 * length(regexp_replace(text, '[一-鿿]', '', 'g'))) / 12) AS BIGINT) AS n_tokens,
   len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(p, '\s', '', 'g') <> '')) AS n_paragraphs,
-  len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(s) <> '')) AS n_sentences,
+  len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_matches(s, '\S'))) AS n_sentences,
   substr(sha256(concat_ws('|', coalesce(title, ''), text)), 1, 16) AS cache_key
 FROM documents
 """)
