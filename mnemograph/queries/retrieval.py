@@ -147,29 +147,28 @@ def t7_substring_score(spark, sf_dir):
 
 
 @query("""
-WITH latest AS (SELECT entity_id, arg_max(name, updated_time) AS name FROM sag2_entity GROUP BY 1),
-asked AS (SELECT DISTINCT trim(lower(answer[1])) AS t FROM eval_samples WHERE len(answer) > 0)
-SELECT t AS token, entity_id, name FROM asked JOIN latest ON contains(lower(name), t) WHERE length(t) >= 2
+WITH latest AS (SELECT entity_id, arg_max(name, updated_time) AS name FROM sag2_entity GROUP BY 1)
+SELECT subject AS token, entity_id, name FROM (SELECT DISTINCT lower(subject) AS subject FROM subject_areas) JOIN latest ON contains(lower(name), subject)
 """)
 def f14_name_contains(spark, sf_dir):
-    """entities whose name holds an answer."""
+    """entities whose name holds the name of a subject."""
     from mnemograph.session import broadcast_if_small
 
     names = filters.latest(table(spark, sf_dir, "sag2_entity").select("entity_id", "name", "updated_time"), "entity_id", "updated_time").where("name is not null")
-    asked = table(spark, sf_dir, "eval_samples").where(F.size("answer") > 0).select(F.trim(F.lower(F.element_at("answer", 1))).alias("token")).where(F.length("token") >= 2).distinct()
+    asked = table(spark, sf_dir, "subject_areas").select(F.lower("subject").alias("token")).where("token is not null").distinct()
     return names.join(broadcast_if_small(asked, 10_000), F.contains(F.lower("name"), F.col("token"))).select("token", "entity_id", "name")
 
 
 @query("""
 SELECT event_id, created_time, start_time, end_time FROM event_vectors
-WHERE (end_time IS NOT NULL AND start_time <= TIMESTAMP '2021-12-31' AND end_time >= TIMESTAMP '2019-01-01')
-   OR (end_time IS NULL AND start_time BETWEEN TIMESTAMP '2019-01-01' AND TIMESTAMP '2021-12-31')
+WHERE (end_time IS NOT NULL AND start_time <= TIMESTAMP '2024-09-30' AND end_time >= TIMESTAMP '2024-03-01')
+   OR (end_time IS NULL AND start_time BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-09-30')
 """)
 def f6_time_overlap(spark, sf_dir):
-    """events whose interval meets three years."""
+    """events whose interval meets seven months."""
     from mnemograph.functions.dates import overlaps
 
-    low, high = (F.lit(t).cast("timestamp_ntz") for t in ("2019-01-01 00:00:00", "2021-12-31 00:00:00"))
+    low, high = (F.lit(t).cast("timestamp_ntz") for t in ("2024-03-01 00:00:00", "2024-09-30 00:00:00"))
     e = table(spark, sf_dir, "event_vectors")
     return e.where(overlaps(F.col("start_time"), F.col("end_time"), low, high)).select("event_id", "created_time", "start_time", "end_time")
 
