@@ -33,7 +33,7 @@ def entity_key(name: Column) -> Column:
 
 def headings(text: Column) -> Column:
     """The markdown headings of a text, without marks, in order."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     marked = F.filter(lines, lambda x: x.rlike(r"^#{1,6}\s+.+"))
     return F.transform(marked, lambda x: F.trim(F.regexp_replace(x, r"^#{1,6}\s+", "")))
 
@@ -78,7 +78,7 @@ def clean_lines(text: Column) -> Column:
     """Single blanks within lines, at most one empty line in a row, trimmed lines."""
     single = F.regexp_replace(text, "[ \\t]+", " ")
     few = F.regexp_replace(single, "\n{3,}", "\n\n")
-    return F.trim(F.array_join(F.transform(F.split(few, "\n"), F.trim), "\n"))
+    return F.trim(F.array_join(F.transform(F.split(few, "\n"), lambda x: F.trim(x)), "\n"))
 
 
 # fixed values: ASCII punctuation and English articles that answers are compared without
@@ -97,7 +97,7 @@ def normalize_answer(text: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[.!?]+"), F.trim), lambda s: s.rlike(r"\S"))
+    return F.filter(F.transform(F.split(text, "[.!?]+"), lambda x: F.trim(x)), lambda s: s.rlike(r"\S"))
 
 
 def section_text(heading: Column, content: Column) -> Column:
@@ -144,7 +144,7 @@ def first_filled(values: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """JSON out of a fenced block; other texts are trimmed."""
-    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     return F.trim(F.when(inner != "", inner).otherwise(text))
 
 

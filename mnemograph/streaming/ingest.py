@@ -39,7 +39,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 def load_documents(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """Markdown files as they arrive, as sections in Parquet; a file is loaded once."""
-    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.readStream.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
     def load(batch: DataFrame, batch_id: int) -> None:
