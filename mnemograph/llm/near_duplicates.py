@@ -29,6 +29,8 @@ _CHUNK = 4096
 _OUTLINE = 256
 #: copies of one text up to which all their pairs are listed; beyond, each is paired with the first
 COPIES_IN_PAIRS = 64
+#: records of a group that one salt of its pairs holds on average
+PAIRED_IN_TASK = 1000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SIGNATURES = "sig bigint, id bigint, n int"
 
@@ -315,3 +317,18 @@ def pairs_in_groups(groups: DataFrame, name: str) -> DataFrame:
     within = a.join(b, "group_id").where(F.col(f"{name}_a") < F.col(f"{name}_b")).drop("group_id")
     copies = sized.where(many & (F.col("id") != F.col("class_id"))).select(F.col("class_id").alias(f"{name}_a"), F.col("id").alias(f"{name}_b"))
     return within.unionByName(copies).distinct()
+
+
+def all_pairs(groups: DataFrame, name: str) -> DataFrame:
+    """(<name>_a, <name>_b), a < b: every pair of different ids of each group, copies as well.
+
+    ``groups`` has ``id`` and ``group_id``. One side of a large group is salted and the
+    other repeated for each salt, so that its pairs are made in many tasks.
+    """
+    members = groups.select("group_id", "id").distinct()
+    sized = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    salts = F.ceil(F.col("n") / PAIRED_IN_TASK).cast("int")
+    spread = members.join(sized.withColumn("salts", salts), "group_id")
+    a = spread.select("group_id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias(f"{name}_a"))
+    b = spread.select("group_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias(f"{name}_b"))
+    return a.join(b, ["group_id", "salt"]).where(F.col(f"{name}_a") < F.col(f"{name}_b")).select(f"{name}_a", f"{name}_b")

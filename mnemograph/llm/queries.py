@@ -172,10 +172,7 @@ FROM near WHERE place <= 5 AND score >= 0.9
 @_query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = names.linked_names(table(spark, sf_dir, "sag2_entity"))
-    # copies of one spelling are a class, named by the first entity
-    first = linked.groupBy("spelling").agg(F.min("entity_id").alias("class_id"))
-    groups = linked.join(first, "spelling").select(F.col("entity_id").alias("id"), "class_id", "group_id")
-    return near_duplicates.pairs_in_groups(groups, "entity_id")
+    return near_duplicates.all_pairs(linked.select(F.col("entity_id").alias("id"), "group_id"), "entity_id")
 
 
 @_query

@@ -2,8 +2,8 @@ import datetime
 
 import pytest
 
-from mnemograph.llm import names
-from mnemograph.llm.near_duplicates import pairs_in_groups
+from mnemograph.llm import names, queries
+from mnemograph.llm.near_duplicates import all_pairs, pairs_in_groups
 from pyspark.sql import functions as F
 
 SCHEMA = "entity_id bigint, entity_type string, name string, updated_time timestamp_ntz, form string, kind string, core string"
@@ -78,3 +78,14 @@ def test_copies_make_a_star(linked):
 
 def test_empty(spark):
     assert names.linked_names(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_all_pairs_of_many_ids(spark, tmp_path):
+    """Of one person under more than 64 ids, and of a group in several salts, every pair comes."""
+    names_of = ["Dr. John Smith, PhD", "john smith", "JOHN SMITH", "Smith, John"]
+    rows = [(i, "person", names_of[i % 4], DAY, "", "", "") for i in range(100)] + [(200, "person", "Maud Other", DAY, "", "", "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/sag2_entity.parquet")
+    pairs = [tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()]
+    assert sorted(pairs) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
+    many = spark.range(2500).selectExpr("id", "'g' AS group_id")
+    assert all_pairs(many, "x").distinct().count() == all_pairs(many, "x").count() == 2500 * 2499 // 2
