@@ -58,7 +58,7 @@ MIN_TYPO_LENGTH = 5
 #: a spelling of a given name that occurs up to this share of a near one is taken for its typo
 RARE_TYPO = 0.03
 TOKENS = "struct<before:array<string>,after:array<string>>"
-PARSED = "array<struct<core:string,given:string,middle:string,bag:string>>"
+PARSED = "array<struct<core:string,given:string,middle:string,bag:string,own:boolean,extra:boolean>>"
 
 
 def fold(name: str) -> str:
@@ -131,22 +131,26 @@ def _person(words: list, comma: bool) -> list[dict]:
             both = both[:1] if known(first) else both[1:]
         extra = [w[2][0] for w in long[1:-1]]
         middle = (extra + initials + [""])[0]
-        return [{"core": c[2], "given": g[2], "middle": middle, "bag": ""} for c, g in both]
+        return [{"core": c[2], "given": g[2], "middle": middle, "bag": "", "own": False, "extra": False} for c, g in both]
     if not given and initials:
         given, initials = initials[0], initials[1:]
     middle = (extra + initials + [""])[0]
-    return [{"core": core, "given": given, "middle": middle, "bag": ""}]
+    return [{"core": core, "given": given, "middle": middle, "bag": "", "own": False, "extra": False}]
 
 
-def _organisation(words: list, n_spellings: int) -> list[dict]:
-    """The rarest word is the own name; two more rare words may be it as well (the first may be a typo or a short form)."""
+def _organisation(words: list) -> list[dict]:
+    """Forms of the rarest word and of the own name; every other word may be the own name as well.
+
+    The own name is the word with the fewest kinds of other words beside it. A rarest word
+    that is not may be a slip, and so the rest are ``extra`` forms, which are looked up among own names only.
+    """
     ranked = sorted(words, key=lambda w: (w[5], -len(w[2]), w[2]))
-    chosen = ranked[:1] + [w for w in ranked[1:3] if w[5] <= max(10, n_spellings // 2000)]
-    out = []
-    for core in chosen:
-        bag = sorted(w[2] for w in words if w[2] != core[2])
-        out.append({"core": core[2], "given": "", "middle": "", "bag": " ".join(bag)})
-    return out
+    own = min(ranked, key=lambda w: w[6])[2]
+    out = {}
+    for k, core in enumerate(w[2] for w in ranked):
+        bag = sorted(w[2] for w in words if w[2] != core)
+        out.setdefault(core, {"core": core, "given": "", "middle": "", "bag": " ".join(bag), "own": core == own, "extra": k > 0 and core != own})
+    return list(out.values())
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -292,15 +296,20 @@ def spelled_forms(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sum(F.when(F.col("comma") & (F.col("side") == 0), 1).otherwise(0)).alias("ahead"),
         F.count(F.lit(1)).alias("spellings"),
     )
-    gathered = words.join(stats, ["kind", "word"]).groupBy("spelling", "kind", "comma").agg(F.array_sort(F.collect_list(F.struct("side", "place", "word", "behind", "ahead", "spellings"))).alias("words"))
-    n_spellings = spellings.count()
+    # other words beside a word of an organisation: of one first and last letter, which slips and short forms mostly keep, they count once
+    of_organisation = words.where("kind <> 'person'").select("spelling", "kind", "word").distinct()
+    other = of_organisation.select("spelling", F.col("word").alias("other"))
+    ends = F.concat(F.substring("other", 1, 1), F.substring("other", -1, 1))
+    beside = of_organisation.join(other, "spelling").where(F.col("word") != F.col("other")).groupBy("kind", "word").agg(F.countDistinct(ends).alias("beside"))
+    stats = stats.join(beside, ["kind", "word"], "left").fillna(0, ["beside"])
+    gathered = words.join(stats, ["kind", "word"]).groupBy("spelling", "kind", "comma").agg(F.array_sort(F.collect_list(F.struct("side", "place", "word", "behind", "ahead", "spellings", "beside"))).alias("words"))
 
     @F.pandas_udf(PARSED)
     def parse(kinds: pd.Series, commas: pd.Series, words: pd.Series) -> pd.Series:
         out = []
         for kind, comma, ws in zip(kinds, commas, words):
             rows = [tuple(w.values()) for w in ws]
-            out.append(_person(rows, comma) if kind == "person" else _organisation(rows, n_spellings))
+            out.append(_person(rows, comma) if kind == "person" else _organisation(rows))
         return pd.Series(out)
 
     parsed = gathered.select("spelling", "kind", F.explode(parse.asNondeterministic()("kind", "comma", "words")).alias("p")).select("spelling", "kind", "p.*")
@@ -321,7 +330,8 @@ def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organ
         F.max_by(F.struct("name", F.col("entity_type").alias("kind")), F.coalesce("updated_time", F.lit("1000-01-01").cast("timestamp_ntz"))).alias("e")
     )
     named = latest.select("entity_id", "e.*").where(F.col("kind").isin(*kinds) & F.col("name").isNotNull())
-    spelled, spellings = spelled_forms(named)
+    spelled, every_form = spelled_forms(named)
+    spellings = every_form.where("not extra")
     counted = spelled.join(spellings, "spelling").groupBy("form", "kind", "core", "given", "middle", "bag").agg(F.count(F.lit(1)).alias("n"))
     counted = cut(counted)
     totals = counted.groupBy("kind").agg(F.sum("n").alias("total"))
@@ -375,7 +385,14 @@ def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organ
     sure = entries.where(1 / (1 + mass) >= min_posterior)
     attached = sure.select("form", best.g_form.alias("g_form"))
     one_spelling = spellings.select(F.col("form"), F.concat(F.lit("~"), "spelling").alias("g_form"))
-    bound = cut(attached.unionByName(one_spelling))
+    # a slip may be the rarest word of an organisation: by any other word, where that is the own name of the form meant
+    own = forms.join(spellings.where("own").select("form").distinct(), "form", "left_semi").select("core", F.concat(F.lit("#"), initials).alias("key"), *(F.col(c).alias(f"g_{c}") for c in ("form", "bag", "n", "core_n")))
+    slipped = every_form.where("extra").select("spelling", "core", F.concat(F.lit("#"), initials).alias("key"), "bag").join(own, ["core", "key"])
+    empty, organisation = F.lit(""), F.lit("organization")
+    meant = slipped.withColumn("channel", _likelihood(organisation, empty, empty, empty, empty, "bag", "g_bag")).where("channel is not null")
+    cost = F.log(F.col("g_core_n") / F.col("g_n")) - F.col("channel")
+    by_others = meant.groupBy("spelling").agg(F.min(F.struct(cost.alias("cost"), "g_form")).alias("best")).select(F.concat(F.lit("~"), "spelling").alias("form"), F.col("best.g_form").alias("g_form"))
+    bound = cut(attached.unionByName(one_spelling).unionByName(by_others))
     groups = cut(connected_components(bound, "form", "g_form").withColumnsRenamed({"node": "form", "component": "group_id"}))
 
     # then forms of an initial or a family name only: the posterior of a group is that of its forms together

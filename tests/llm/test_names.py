@@ -89,3 +89,16 @@ def test_all_pairs_of_many_ids(spark, tmp_path):
     assert sorted(pairs) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
     many = spark.range(2500).selectExpr("id", "'g' AS group_id")
     assert all_pairs(many, "x").distinct().count() == all_pairs(many, "x").count() == 2500 * 2499 // 2
+
+
+def test_slip_beside_a_common_own_name(spark):
+    """The own name stands in more spellings than any cap, so the slip is the rarest word; a near own name stays apart."""
+    trades = ["Insurance", "Brewery", "Shipping", "Steel", "Textile", "Mining", "Airlines", "Bank"]
+    firms = [f"{a}{b}{c}" for a in ("Zor", "Mul", "Kap", "Dev") for b in ("at", "ik", "on") for c in ("el", "us", "ag", "im", "or")]
+    rows = [f"{f} {t}" for f in firms for t in trades] + [f"Acme {t} {w}" for t in trades for w in ("Holding", "Group")] + [f"Acme {t}" for t in trades]
+    rows += ["Acme Insurance"] * 5 + ["Acme Insruance", "Akme Insurance"]
+    out = names.linked_names(spark.createDataFrame([(i, "organization", n, DAY, "", "", "") for i, n in enumerate(rows)], SCHEMA))
+    group = {rows[r.entity_id]: r.group_id for r in out.collect()}
+    assert group["Acme Insruance"] == group["Acme Insurance"]
+    assert group["Acme Insurance"] not in (group["Akme Insurance"], group["Acme Bank"], group["Acme Insurance Group"])
+    assert len({group[f"{f} Insurance"] for f in firms}) == len(firms)
