@@ -389,7 +389,7 @@ def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organ
     own = forms.join(spellings.where("own").select("form").distinct(), "form", "left_semi").select("core", F.concat(F.lit("#"), initials).alias("key"), *(F.col(c).alias(f"g_{c}") for c in ("form", "bag", "n", "core_n")))
     slipped = every_form.where("extra").select("spelling", "core", F.concat(F.lit("#"), initials).alias("key"), "bag").join(own, ["core", "key"])
     empty, organisation = F.lit(""), F.lit("organization")
-    meant = slipped.withColumn("channel", _likelihood(organisation, empty, empty, empty, empty, "bag", "g_bag")).where("channel is not null")
+    meant = slipped.withColumn("channel", F.greatest(*(_likelihood(organisation, empty, empty, empty, empty, *bags) for bags in (("bag", "g_bag"), ("g_bag", "bag"))))).where("channel is not null")
     cost = F.log(F.col("g_core_n") / F.col("g_n")) - F.col("channel")
     by_others = meant.groupBy("spelling").agg(F.min(F.struct(cost.alias("cost"), "g_form")).alias("best")).select(F.concat(F.lit("~"), "spelling").alias("form"), F.col("best.g_form").alias("g_form"))
     bound = cut(attached.unionByName(one_spelling).unionByName(by_others))
