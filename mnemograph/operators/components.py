@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.session import cut
+from mnemograph.session import cut, unpriced
 
 
 def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
@@ -21,7 +21,7 @@ def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
     """
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"))
-    joined = pairs.join(least, "u")
+    joined = pairs.join(unpriced(least), "u")
     if larger_only:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -31,13 +31,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (local tests) is a
-    temporary folder of this machine used.
+    Only in local mode, and only where neither that setting nor a checkpoint folder exists
+    (tests), is a temporary folder of this machine used. On a cluster without the setting
+    this raises ``RuntimeError``: such a folder would be lost with an executor.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mnemograph-checkpoint-"))
 
 
@@ -60,6 +63,15 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unpriced(df: DataFrame) -> DataFrame:
+    """A side of a join that must not be broadcast on an estimate: both sides are shuffled and sorted.
+
+    Catalyst prices rows behind Python functions, exploded arrays and checkpoints like the
+    input they came from, which can be a hundred times too low.
+    """
+    return df.hint("merge")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
