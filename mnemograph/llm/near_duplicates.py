@@ -22,13 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemograph.operators.components import connected_components
-from mnemograph.session import cut
+from mnemograph.session import cut, unpriced
 
 SKETCH_BITS = 19
 _CHUNK = 4096
 _OUTLINE = 256
-#: copies of one text up to which all their pairs are listed; beyond, each is paired with the first
-COPIES_IN_PAIRS = 64
 #: records of a group that one salt of its pairs holds on average
 PAIRED_IN_TASK = 1000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -257,7 +255,7 @@ def similar_sets(sets: DataFrame, threshold: float, band_ratio: float = 1.3, seg
     smaller = (F.col("r.n") < F.col("s.n")) | ((F.col("r.n") == F.col("s.n")) & (F.col("r.id") < F.col("s.id")))
     large_enough = F.col("r.n") >= F.lit(threshold) * F.col("s.n") - 1e-9
     pairs = (
-        r.join(s, (F.col("r.sig") == F.col("s.sig")) & smaller & large_enough)
+        unpriced(r).join(s, (F.col("r.sig") == F.col("s.sig")) & smaller & large_enough)
         .select(F.least("r.id", "s.id").alias("a"), F.greatest("r.id", "s.id").alias("b"))
         .distinct()
     )
@@ -266,11 +264,11 @@ def similar_sets(sets: DataFrame, threshold: float, band_ratio: float = 1.3, seg
     x, y = outlines.alias("x"), outlines.alias("y")
     differing = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
     allowed = F.lit((1 - threshold) / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) + 1e-9
-    close = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(differing <= allowed).select("a", "b")
+    close = pairs.join(unpriced(x), F.col("a") == F.col("x.id")).join(unpriced(y), F.col("b") == F.col("y.id")).where(differing <= allowed).select("a", "b")
     left = filled.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
     right = filled.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
     common = F.size(F.array_intersect("grams_a", "grams_b"))
-    verified = close.join(left, "a").join(right, "b").select("a", "b", common.alias("shared"), (F.size("grams_a") + F.size("grams_b")).alias("both"))
+    verified = close.join(unpriced(left), "a").join(unpriced(right), "b").select("a", "b", common.alias("shared"), (F.size("grams_a") + F.size("grams_b")).alias("both"))
     similarity = F.col("shared") / (F.col("both") - F.col("shared"))
     return verified.select("a", "b", "shared", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -287,38 +285,25 @@ def near_duplicate_groups(records: DataFrame, record_id: str, texts: list[str],
     own = records.select(F.col(record_id).cast("bigint").alias("id"), word_runs([F.col(t) for t in texts], width).alias("grams")).where("id is not null")
     own = cut(own.withColumn("key", F.md5(F.concat_ws(",", "grams"))))
     has_runs = F.size("grams") > 0
-    classes = own.where(has_runs).groupBy("key").agg(F.min("id").alias("class_id"))
-    members = own.where(has_runs).select("id", "key").join(classes, "key").select("id", "class_id").distinct()
+    # classes are settled on ids and keys; the runs are fetched last, for one record of each class
+    keyed = own.where(has_runs).select("id", "key")
+    classes = keyed.groupBy("key").agg(F.min("id").alias("class_id"))
+    members = keyed.join(unpriced(classes), "key").select("id", "class_id").distinct()
     # one id may stand under several texts; it then belongs to the class of each
-    sets = cut(members.where("id = class_id").select("id").distinct().join(own.where(has_runs), "id").join(classes, "key").where("id = class_id").select("id", "grams").dropDuplicates(["id"]))
+    first = classes.select(F.col("class_id").alias("id"), "key")
+    sets = cut(own.where(has_runs).join(unpriced(first), ["id", "key"]).select("id", "grams").dropDuplicates(["id"]))
     links = cut(similar_sets(sets, threshold))
     groups = connected_components(links, "a", "b").withColumnsRenamed({"node": "class_id", "component": "group_id"})
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     alone = own.where(~has_runs).select("id", F.col("id").alias("class_id")).distinct()
     return (
         members.unionByName(alone)
-        .join(groups, "class_id", "left")
-        .join(degree, "class_id", "left")
+        .join(unpriced(groups), "class_id", "left")
+        .join(unpriced(degree), "class_id", "left")
         .select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
 
 
-def pairs_in_groups(groups: DataFrame, name: str) -> DataFrame:
-    """(<name>_a, <name>_b), a < b: the pairs of records of each group of ``near_duplicate_groups``.
-
-    Of a class of more than ``COPIES_IN_PAIRS`` equal texts each copy is paired with the
-    class's first record, which stands for the class in the pairs with other texts.
-    """
-    sized = groups.join(groups.groupBy("class_id").agg(F.countDistinct("id").alias("copies")), "class_id")
-    many = F.col("copies") > COPIES_IN_PAIRS
-    shown = sized.where(~many | (F.col("id") == F.col("class_id"))).select("group_id", "id").distinct()
-    large = shown.join(shown.groupBy("group_id").count().where("count > 1"), "group_id", "left_semi")
-    a, b = large.select("group_id", F.col("id").alias(f"{name}_a")), large.select("group_id", F.col("id").alias(f"{name}_b"))
-    within = a.join(b, "group_id").where(F.col(f"{name}_a") < F.col(f"{name}_b")).drop("group_id")
-    copies = sized.where(many & (F.col("id") != F.col("class_id"))).select(F.col("class_id").alias(f"{name}_a"), F.col("id").alias(f"{name}_b"))
-    return within.unionByName(copies).distinct()
-
-
 def all_pairs(groups: DataFrame, name: str) -> DataFrame:
     """(<name>_a, <name>_b), a < b: every pair of different ids of each group, copies as well.
 
@@ -328,7 +313,7 @@ def all_pairs(groups: DataFrame, name: str) -> DataFrame:
     members = groups.select("group_id", "id").distinct()
     sized = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     salts = F.ceil(F.col("n") / PAIRED_IN_TASK).cast("int")
-    spread = members.join(sized.withColumn("salts", salts), "group_id")
+    spread = members.join(unpriced(sized.withColumn("salts", salts)), "group_id")
     a = spread.select("group_id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias(f"{name}_a"))
     b = spread.select("group_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias(f"{name}_b"))
-    return a.join(b, ["group_id", "salt"]).where(F.col(f"{name}_a") < F.col(f"{name}_b")).select(f"{name}_a", f"{name}_b")
+    return unpriced(a).join(b, ["group_id", "salt"]).where(F.col(f"{name}_a") < F.col(f"{name}_b")).select(f"{name}_a", f"{name}_b")

@@ -68,7 +68,7 @@ FROM span GROUP BY doc_id, k
 
 @_query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.split_tables(spark, sf_dir, with_text=False).where("piece = 0").select("table_name", "item_id")
+    return pieces.split_tables(spark, sf_dir).where("piece = 0").select("table_name", "item_id")
 
 
 @_query
@@ -94,7 +94,7 @@ def _sample_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.pairs_in_groups(_sample_groups(spark, sf_dir), "idx")
+    return near_duplicates.all_pairs(_sample_groups(spark, sf_dir).select("id", "group_id"), "idx")
 
 
 @_query

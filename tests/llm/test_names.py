@@ -3,8 +3,7 @@ import datetime
 import pytest
 
 from mnemograph.llm import names, queries
-from mnemograph.llm.near_duplicates import all_pairs, pairs_in_groups
-from pyspark.sql import functions as F
+from mnemograph.llm.near_duplicates import all_pairs
 
 SCHEMA = "entity_id bigint, entity_type string, name string, updated_time timestamp_ntz, form string, kind string, core string"
 DAY = datetime.datetime(2024, 1, 1)
@@ -69,13 +68,6 @@ def test_links(linked):
     assert out.count() == len(group)
 
 
-def test_copies_make_a_star(linked):
-    _, out = linked
-    first = out.groupBy("spelling").agg(F.min("entity_id").alias("class_id"))
-    pairs = pairs_in_groups(out.join(first, "spelling").select(F.col("entity_id").alias("id"), "class_id", "group_id"), "entity_id")
-    assert pairs.where("entity_id_a >= 6000 and entity_id_b < 7000").count() == 89
-
-
 def test_empty(spark):
     assert names.linked_names(spark.createDataFrame([], SCHEMA)).count() == 0
 
