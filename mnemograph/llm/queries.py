@@ -209,6 +209,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
 
 
+@_query
+def p8_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_leaves(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
 @_query
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.composition(_subjects(spark, sf_dir), table(spark, sf_dir, "subject_areas"))
