@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENTITY = "struct<type:string,name:string,description:string>"
-_LEAF = f"title:string,content:string,is_valid:boolean,references:array<string>,entities:array<{ENTITY}>"
-#: depth to which children are followed; deeper ones are dropped with their parents kept
-DEPTH = 3
-
+from mnemograph.session import cut
 
-def item_schema(depth: int = DEPTH) -> str:
-    inner = f"struct<{_LEAF}>"
-    for _ in range(depth - 1):
-        inner = f"struct<{_LEAF},children:array<{inner}>>"
-    return f"struct<data:struct<items:array<{inner}>>>"
+ENTITY = "struct<type:string,name:string,description:string>"
+_LEAF = f"title:string,content:string,is_valid:boolean,references:array<string>,entities:array<{ENTITY}>,children:array<string>"
+#: levels of children that are followed; a reply that goes deeper raises
+DEPTH = 32
 
 
 def flatten_events(replies: DataFrame, key: str, reply: str, depth: int = DEPTH) -> DataFrame:
@@ -23,18 +18,22 @@ def flatten_events(replies: DataFrame, key: str, reply: str, depth: int = DEPTH)
 
     A reply that is no such JSON gives no row. An item with ``is_valid`` false is left out
     with everything below it. ``path`` numbers the items from 0 and identifies them.
+    Children are followed level by level, as long as there are any; ``RuntimeError`` if
+    there are more than ``depth`` levels.
     """
-    top = replies.select(key, F.from_json(reply, item_schema(depth)).alias("r")).select(key, F.posexplode("r.data.items").alias("i", "item"))
+    top = replies.select(key, F.from_json(reply, "struct<data:struct<items:array<string>>>").alias("r")).select(key, F.posexplode("r.data.items").alias("i", "item"))
     now = top.select(key, F.col("i").cast("string").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), "item")
     out = None
     for level in range(depth):
-        now = now.where(F.coalesce("item.is_valid", F.lit(True)))
+        parsed = now.withColumn("item", F.from_json("item", f"struct<{_LEAF}>")).where(F.col("item").isNotNull() & F.coalesce("item.is_valid", F.lit(True)))
+        now = cut(parsed)
         flat = now.select(key, "path", "parent", "level", *(F.col(f"item.{c}").alias(c) for c in ("title", "content", "references", "entities")))
         out = flat if out is None else out.unionByName(flat)
-        if level + 1 < depth:
-            below = now.select(key, "path", F.posexplode("item.children").alias("i", "child"))
-            now = below.select(key, F.concat_ws(".", "path", F.col("i").cast("string")).alias("path"), F.col("path").alias("parent"), F.lit(level + 1).alias("level"), F.col("child").alias("item"))
-    return out
+        below = now.select(key, "path", F.posexplode("item.children").alias("i", "child"))
+        if below.isEmpty():
+            return out
+        now = below.select(key, F.concat_ws(".", "path", F.col("i").cast("string")).alias("path"), F.col("path").alias("parent"), F.lit(level + 1).alias("level"), F.col("child").alias("item"))
+    raise RuntimeError(f"items have children on more than {depth} levels")
 
 
 def resolve_references(references: Column, ids: Column) -> Column:
@@ -72,60 +71,32 @@ def unknown_types(items: DataFrame, allowed: DataFrame, kind: str) -> DataFrame:
     return items.join(allowed.select(kind).distinct(), kind, "left_anti")
 
 
-# typed values
-
-# fixed values: multipliers of number words and signs
-QUANTIFIERS = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "b": 1e9, "billion": 1e9, "%": 0.01, "千": 1e3, "万": 1e4, "亿": 1e8}
-TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "on", "是", "对", "真"), ("false", "no", "n", "off", "否", "错", "假")
-
-
-def number_value(text: Column) -> Column:
-    """The number at the start of a text with its quantifier applied; null if it is none."""
-    low = F.lower(F.trim(text))
-    digits = F.regexp_replace(F.regexp_extract(low, r"^([+-]?[\d,]*\.?\d+(?:e[+-]?\d+)?)\s*([^\d\s]*)$", 1), ",", "").try_cast("double")
-    unit = F.regexp_extract(low, r"^([+-]?[\d,]*\.?\d+(?:e[+-]?\d+)?)\s*([^\d\s]*)$", 2)
-    factor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in QUANTIFIERS.items() for x in pair]), unit), F.lit(1.0))
-    return digits * factor
-
-
-def date_value(text: Column) -> Column:
-    """A date or time in one of the usual forms as a naive timestamp; null if it is none."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "[年月/]", "-"), "[日]", " "))
-    compact = F.regexp_extract(F.trim(text), r"^(\d{14}|\d{12}|\d{8})$", 1)
-    shapes = [
-        (plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}$"), plain, "yyyy-M-d[ ]['T']H:mm:ss"),
-        (plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}$"), plain, "yyyy-M-d[ ]['T']H:mm"),
-        (plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), plain, "yyyy-M-d"),
-        (plain.rlike(r"^\d{4}-\d{1,2}-?$"), F.regexp_replace(plain, "-$", ""), "yyyy-M"),
-        (F.length(compact) == 14, compact, "yyyyMMddHHmmss"),
-        (F.length(compact) == 12, compact, "yyyyMMddHHmm"),
-        (F.length(compact) == 8, compact, "yyyyMMdd"),
-        (plain.rlike(r"^(19[7-9]\d|20\d\d)$"), plain, "yyyy"),
-    ]
-    return F.coalesce(*(F.when(fits, F.try_to_timestamp(value, F.lit(form))) for fits, value, form in shapes)).cast("timestamp_ntz")
-
-
-def bool_value(text: Column) -> Column:
-    low = F.lower(F.trim(text))
-    return F.when(F.length(low) <= 10, F.when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False))
-
-
-def enum_value(text: Column, values: list[str]) -> Column:
-    """(value, confidence): the value meant, by equality, then by containment, else UNKNOWN."""
-    low = F.lower(F.trim(text))
-    options = F.array(*(F.lit(v) for v in values))
-    exact = F.get(F.filter(options, lambda v: F.lower(v) == low), F.lit(0))
-    near = F.get(F.filter(options, lambda v: F.contains(low, F.lower(v)) | F.contains(F.lower(v), low)), F.lit(0))
-    found = F.coalesce(exact, F.when(low != "", near))
-    sure = F.when(exact.isNotNull(), 1.0).when(found.isNotNull(), 0.8).otherwise(0.0)
-    return F.struct(F.coalesce(found, F.lit("UNKNOWN")).alias("value"), sure.alias("confidence"))
-
-
-def typed_value(kind: Column, text: Column) -> Column:
-    """(type, int, float, date, bool): dates first for time entities, then numbers, words of truth, text."""
-    date, number, truth = date_value(text), number_value(text), bool_value(text)
-    name = F.when(date.isNotNull() & ((kind == "time") | number.isNull()), "datetime").when(number.isNotNull(), F.when(number == F.floor(number), "int").otherwise("float")).when(truth.isNotNull(), "bool").otherwise("text")
-    return F.struct(
-        name.alias("type"), F.when(name == "int", number.cast("bigint")).alias("int_value"), F.when(name == "float", number.cast("decimal(20,4)")).alias("float_value"),
-        F.when(name == "datetime", date).alias("datetime_value"), F.when(name == "bool", truth).alias("bool_value"),
-    )
+def resolved_types(parts: list[DataFrame]) -> DataFrame:
+    """Entity types of several tables with the same columns: the first table that has a type gives it.
+
+    Tables have a column ``type``; within a table the smallest row of a type counts.
+    """
+    marked = [p.withColumn("_prio", F.lit(i)) for i, p in enumerate(parts)]
+    both = marked[0]
+    for p in marked[1:]:
+        both = both.unionByName(p)
+    others = [c for c in both.columns if c not in ("type", "_prio")]
+    first = both.where("type is not null").groupBy("type").agg(F.min(F.struct("_prio", *others)).alias("_r"))
+    return first.select("type", *(F.col(f"_r.{c}").alias(c) for c in others))
+
+
+def over_type_threshold(hits: DataFrame, types: DataFrame, default: float = 0.8) -> DataFrame:
+    """Hits (with type and score) at or over the threshold of their type, and the type's weight.
+
+    ``types`` has type, threshold and weight; a type that is unknown, or without a
+    threshold or weight, has ``default`` and 1.
+    """
+    known = types.select("type", "threshold", "weight")
+    joined = hits.join(known, "type", "left").withColumns({"threshold": F.coalesce("threshold", F.lit(default)), "weight": F.coalesce("weight", F.lit(1.0))})
+    return joined.where(F.col("score") >= F.col("threshold"))
+
+
+def created_of_source(items: DataFrame, articles: DataFrame, key: str = "article_id", time: str = "created_time") -> DataFrame:
+    """Items with the creation time of their article; null where it is unknown."""
+    first = articles.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(time).alias("source_created_time"))
+    return items.join(first, key, "left")

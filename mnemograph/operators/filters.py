@@ -80,3 +80,28 @@ def per_key_limit(rows: DataFrame, keys: list[str], order: list[Column], n: int,
     """The first n rows of each key; Spark plans a group limit, which cuts before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn(place, F.row_number().over(window)).where(F.col(place) <= n)
+
+
+def exact_names(rows: DataFrame, name: str, asked: DataFrame, per_name: int, order: list[Column]) -> DataFrame:
+    """Rows whose name equals an asked one (column ``name`` of ``asked``), at most ``per_name`` of each."""
+    found = rows.join(asked.select(F.col("name").alias(name)).distinct(), name, "left_semi")
+    return per_key_limit(found, [name], order, per_name, "_n").drop("_n")
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n)))
+
+
+def containing(rows: DataFrame, key: str, text: str, needles: DataFrame, needle: str, gram: int = 3) -> DataFrame:
+    """(key, needle): which texts contain which needles, whatever their case; an equality join.
+
+    A needle meets the texts that hold its first ``gram`` characters, shorter needles those
+    that hold them whole, and what meets is verified. Only distinct runs of a text are
+    joined; null and empty needles meet nothing.
+    """
+    low = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), F.lower(text).alias("_text")).distinct()
+    asked = needles.select(F.col(needle).alias("needle")).where(F.coalesce(F.length("needle"), F.lit(0)) > 0).distinct()
+    asked = asked.withColumns({"_low": F.lower("needle"), "_gram": F.substring(F.lower("needle"), 1, gram)})
+    runs = F.array_distinct(F.flatten(F.array(*(_grams(F.col("_text"), n) for n in range(1, gram + 1)))))
+    wanted = low.select(key, F.explode(runs).alias("_gram")).join(asked.select("_gram", "_low", "needle"), "_gram")
+    return wanted.join(low, key).where(F.contains("_text", F.col("_low"))).select(key, "needle").distinct()

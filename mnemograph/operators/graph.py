@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemograph.operators.filters import per_key_limit
+from mnemograph.operators.knn import cosine, score_of_cosine
 from mnemograph.session import cut
 
 
@@ -127,3 +128,71 @@ def distinct_routes(routes: DataFrame) -> DataFrame:
     once = routes.groupBy(*keys).agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("hop", "from_node", "to_node", "method")
     return once.withColumn("position", F.row_number().over(order))
+
+
+def relations_of(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(event_id, entity_id, vec): edges with the vector of what ties the entity to the event."""
+    return edges.join(vectors.select(F.col("id").alias("event_id"), "vec"), "event_id").select("event_id", "entity_id", "vec")
+
+
+def near_relations(queries: DataFrame, within: DataFrame, relations: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
+    """(query_id, event_id, entity_id, score, place): the k relations most similar to the query, over the threshold.
+
+    Only relations of the query's events in ``within`` (query_id, event_id) take part. The
+    threshold is applied to the k best, so it never lets a lower one in.
+    """
+    pairs = within.select("query_id", "event_id").distinct().join(relations, "event_id")
+    asked = queries.select("query_id", F.col("vec").alias("_q"))
+    scored = pairs.join(asked, "query_id").withColumn("score", score_of_cosine(cosine(F.col("_q"), F.col("vec"))))
+    best = per_key_limit(scored.drop("_q", "vec"), ["query_id"], [F.desc(F.round("score", 9)), F.col("event_id"), F.col("entity_id")], k)
+    return best.where(F.col("score") >= threshold)
+
+
+def related_entities(queries: DataFrame, events: DataFrame, relations: DataFrame, seen: DataFrame, most: int, multiplier: int = 5, threshold: float = 0.0) -> DataFrame:
+    """(query_id, entity_id, event_id, score, place): new entities by the similarity of their relations.
+
+    Of the ``most`` x ``multiplier`` nearest relations of the query's events those of new
+    entities count; the first ``most`` entities are kept with all their kept relations.
+    """
+    near = near_relations(queries, events, relations, most * multiplier, threshold)
+    new = near.join(seen.select("query_id", "entity_id").distinct(), ["query_id", "entity_id"], "left_anti")
+    first = new.groupBy("query_id", "entity_id").agg(F.min("place").alias("first"))
+    kept = per_key_limit(first, ["query_id"], [F.col("first")], most, "n").select("query_id", "entity_id")
+    return new.join(kept, ["query_id", "entity_id"], "left_semi")
+
+
+def scope_edges(scope: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(query_id, event_id, entity_id): the edges of each query's scope (query_id, id, score), at most ``most`` of them."""
+    found = scope.select("query_id", F.col("id").alias("event_id")).join(edges, "event_id").select("query_id", "event_id", "entity_id")
+    return found if most is None else per_key_limit(found, ["query_id"], [F.col("event_id"), F.col("entity_id")], most).select("query_id", "event_id", "entity_id")
+
+
+def scoped_pairs(seeds: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
+    """(query_id, entity_id, event_id): at most ``cap`` events of each entity within the query's own edges."""
+    met = seeds.select("query_id", "entity_id").distinct().join(edges, ["query_id", "entity_id"])
+    return per_key_limit(met, ["query_id", "entity_id"], [F.col("event_id")], cap).select("query_id", "entity_id", "event_id")
+
+
+def scoped_entities(events: DataFrame, edges: DataFrame, seen: DataFrame, most: int) -> DataFrame:
+    """(query_id, entity_id): new entities of events (query_id, id, score) within the query's own edges, best events first."""
+    met = events.select("query_id", F.col("id").alias("event_id"), "score").join(edges, ["query_id", "event_id"])
+    new = met.join(seen.select("query_id", "entity_id").distinct(), ["query_id", "entity_id"], "left_anti")
+    first = new.groupBy("query_id", "entity_id").agg(F.min(F.struct((-F.round("score", 9)).alias("cost"), "event_id")).alias("b"))
+    return per_key_limit(first, ["query_id"], [F.col("b.cost"), F.col("b.event_id"), F.col("entity_id")], most).select("query_id", "entity_id")
+
+
+def endpoints_within(edges: DataFrame, events: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges whose event and entity both belong: two semi-joins."""
+    return edges.join(events.select("event_id").distinct(), "event_id", "left_semi").join(entities.select("entity_id").distinct(), "entity_id", "left_semi").select("event_id", "entity_id")
+
+
+def clues(routes: DataFrame, level: str = "final") -> DataFrame:
+    """(query_id, from_node, to_node, stage, level, score, hop): each step of the routes once, at its best score."""
+    once = routes.groupBy("query_id", "from_node", "to_node", F.col("method").alias("stage")).agg(F.max_by(F.struct("score", "hop"), F.struct("score", (-F.col("hop")).alias("h"))).alias("b"))
+    return once.select("query_id", "from_node", "to_node", "stage", F.lit(level).alias("level"), "b.score", "b.hop")
+
+
+def clue_nodes(routes: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, node, kind, name): every node of the routes once; ``names`` has node, kind and name."""
+    ends = [routes.select("query_id", F.col(f"{end}_node").alias("node"), F.col(f"{end}_kind").alias("kind")) for end in ("from", "to")]
+    return ends[0].unionByName(ends[1]).distinct().join(names, ["node", "kind"], "left")

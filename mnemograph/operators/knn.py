@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemograph.session import cut
+
 #: numbers of a block of query vectors: what is sent to every task, whatever the number of queries
 BLOCK_NUMBERS = 1_000_000
 
@@ -29,6 +31,15 @@ def _unit(vectors: list) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _merged(kept: np.ndarray, near: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two lists for each query, by score and then id."""
+    scores, ids = np.concatenate([kept, scores], axis=1), np.concatenate([near, ids], axis=1)
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    scores, ids = np.take_along_axis(scores, by_id, axis=1), np.take_along_axis(ids, by_id, axis=1)
+    top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(scores, top, axis=1), np.take_along_axis(ids, top, axis=1)
+
+
 def exact_knn(
     queries: DataFrame, vectors: DataFrame, k: int, id_type: str = "bigint", query_type: str = "bigint", group_type: str | None = None, threshold: float | None = None, skip_self: bool = False
 ) -> DataFrame:
@@ -48,6 +59,8 @@ def exact_knn(
     rows = max(1, BLOCK_NUMBERS // max(1, first.d))
     parts = -(-q.count() // rows) or 1
     found = None
+    if parts > 1:
+        q = cut(q)
     for part in range(parts):
         # a hash split keeps the parts near that size
         chosen = q if parts == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
@@ -57,6 +70,7 @@ def exact_knn(
             block = shared.value
             matrix = _unit(block.vec.tolist())
             ids = block.query_id.to_numpy()
+            kept, near = np.full((len(ids), 0), -1.0), np.empty((len(ids), 0), block.query_id.to_numpy()[:0].dtype)
             for batch in batches:
                 if not len(batch):
                     continue
@@ -70,9 +84,9 @@ def exact_knn(
                 if threshold is not None:
                     scores[scores < threshold] = -1
                 top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
-                kept = np.take_along_axis(scores, top, axis=1)
-                row, slot = np.nonzero(kept >= 0)
-                yield pd.DataFrame({"query_id": ids[row], "id": own[top[row, slot]], "score": kept[row, slot]})
+                kept, near = _merged(kept, near.astype(own.dtype), np.take_along_axis(scores, top, axis=1), own[top], k)
+            row, slot = np.nonzero(kept >= 0)
+            yield pd.DataFrame({"query_id": ids[row], "id": near[row, slot], "score": kept[row, slot]})
 
         columns = ["id", "vec"] + ["grp"] * bool(group_type)
         hits = vectors.select(*columns).mapInPandas(scan, f"query_id {query_type}, id {id_type}, score double")
@@ -85,3 +99,10 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> Dat
     left = queries.select("query_id", F.col("vec").alias("_q"))
     right = vectors.select("id", F.col("vec").alias("_v"))
     return pairs.join(left, "query_id").join(right, "id").withColumn("score", score_of_cosine(cosine(F.col("_q"), F.col("_v")))).drop("_q", "_v")
+
+
+def score_missing(pairs: DataFrame, known: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, id, score) of pairs: the score that ``known`` has, else computed; only those fetch vectors."""
+    marked = pairs.select("query_id", "id").distinct().join(known.select("query_id", "id", "score"), ["query_id", "id"], "left")
+    fresh = score_pairs(marked.where("score is null").select("query_id", "id"), queries, vectors)
+    return marked.where("score is not null").unionByName(fresh.select("query_id", "id", "score"))

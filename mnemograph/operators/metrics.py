@@ -33,13 +33,15 @@ def strict_precision(retrieved: Column, gold: Column, k: int) -> Column:
 
 
 def counted_recall(retrieved: Column, gold: Column, k: int) -> Column:
-    """Repeated hits count each, so it may exceed 1."""
-    return F.when(F.size(gold) > 0, hits(retrieved, gold, k) / F.size(gold)).otherwise(0.0)
+    """Hits of all distinct gold items; repeated hits count each, so it may exceed 1."""
+    n = F.size(F.array_distinct(gold))
+    return F.when(n > 0, hits(retrieved, gold, k) / n).otherwise(0.0)
 
 
 def ndcg(retrieved: Column, gold: Column, k: int) -> Column:
+    """Discounted gain of the first k by the best that the distinct gold items could give."""
     gains = F.transform(F.slice(retrieved, 1, k), lambda x, i: F.when(F.array_contains(gold, x), 1 / F.log2(i + 2.0)).otherwise(0.0))
-    ideal = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.size(gold)))), lambda i: 1 / F.log2(i + 1.0))
+    ideal = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.size(F.array_distinct(gold))))), lambda i: 1 / F.log2(i + 1.0))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(gold) > 0, total(gains) / total(ideal)).otherwise(0.0)
 
@@ -98,3 +100,40 @@ def ids_to_rerun(samples: DataFrame, results: DataFrame, key: str, value: str) -
 def additive_totals(rows: DataFrame, stage: str, seconds: str) -> DataFrame:
     """Seconds and counts of each stage, and of all stages in a row without a stage."""
     return rows.rollup(stage).agg(F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("n"))
+
+
+def evidence_sentences(facts: DataFrame, context: DataFrame) -> DataFrame:
+    """(id, at, sentence): sentences that facts (id, at, title, sentence_index) name in context (id, title, sentences).
+
+    A fact without such a title, or with an index outside its sentences, gives none; of a
+    title that comes twice the last counts (by ``at``).
+    """
+    last = context.groupBy("id", "title").agg(F.max_by("sentences", "at").alias("sentences"))
+    found = facts.join(last, ["id", "title"]).withColumn("sentence", F.get("sentences", F.col("sentence_index")))
+    return found.where((F.col("sentence_index") >= 0) & F.col("sentence").isNotNull()).select("id", "at", "sentence")
+
+
+def evidence_coverage(stages: DataFrame, texts: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, stage, n_candidates, hit, total, coverage, hit_ids): how much of the gold each stage still holds.
+
+    ``stages`` has query_id, stage and id; ``texts`` id and text; ``gold`` query_id and
+    text. Texts are compared in their normal form and count once; queries without gold are
+    left out.
+    """
+    from mnemograph.functions.text import evidence_text
+
+    wanted = gold.select("query_id", evidence_text(F.col("text")).alias("text")).where("text != ''").distinct()
+    total = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    seen = stages.select("query_id", "stage", "id").distinct()
+    said = seen.join(texts.select("id", evidence_text(F.col("text")).alias("text")), "id")
+    hits = said.join(wanted, ["query_id", "text"]).groupBy("query_id", "stage").agg(F.countDistinct("text").alias("hit"), F.array_sort(F.collect_set("id")).alias("hit_ids"))
+    sizes = seen.groupBy("query_id", "stage").agg(F.count(F.lit(1)).alias("n_candidates"))
+    joined = sizes.join(total, "query_id").join(hits, ["query_id", "stage"], "left")
+    hit = F.coalesce("hit", F.lit(0))
+    return joined.select("query_id", "stage", "n_candidates", hit.alias("hit"), "total", F.round(hit / F.col("total"), 4).alias("coverage"), F.coalesce("hit_ids", F.array()).alias("hit_ids"))
+
+
+def mean_of_graphs(rows: DataFrame, graph: str) -> DataFrame:
+    """(metric, mean, n_graphs): each number of a row for each graph, averaged over the graphs."""
+    names = [c for c in rows.columns if c != graph]
+    return averages(long_form(rows, [graph], {c: F.col(c) for c in names})).withColumnRenamed("n", "n_graphs")

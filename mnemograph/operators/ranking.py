@@ -63,12 +63,16 @@ def channel_merge(entity: DataFrame, vector: DataFrame) -> DataFrame:
 
 
 def fast_score(merged: DataFrame, weights: tuple[float, float, float] = (0.85, 0.15, 0.05)) -> DataFrame:
-    """Adds fast_score: scores scaled to 0..1 within a query, and bonuses for an entity hit and for both channels."""
+    """Adds fast_score: scores scaled to 0..1 within a query, with bonuses.
+
+    One is for an event that touches an entity of the query, by whatever channel it came,
+    and one for an event of both channels.
+    """
     own = Window.partitionBy("query_id")
     low, high = F.min("score").over(own), F.max("score").over(own)
     scaled = F.when(high - low <= 1e-9, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low))
     both = F.col("from_entity") & F.col("from_vector")
-    total = weights[0] * scaled + F.when(F.col("from_entity"), weights[1]).otherwise(0.0) + F.when(both, weights[2]).otherwise(0.0)
+    total = weights[0] * scaled + F.when(F.col("touches_seed"), weights[1]).otherwise(0.0) + F.when(both, weights[2]).otherwise(0.0)
     return merged.withColumn("fast_score", total)
 
 
@@ -118,3 +122,60 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column], keep_nu
     marked = rows.withColumn("_n", F.row_number().over(window))
     kept = F.col("_n") == 1
     return marked.where(kept | F.col(keep_null).isNull() if keep_null else kept).drop("_n")
+
+
+def ranked_results(ids: DataFrame, scores: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, pos, score[, rank_score]): ids in their order with their scores, 0 where there is none."""
+    out = ids.select("query_id", "id", "pos").join(scores.select("query_id", "id", "score"), ["query_id", "id"], "left").fillna(0.0, ["score"])
+    return out if ranks is None else out.join(ranks.select("query_id", "id", F.col("score").alias("rank_score")), ["query_id", "id"], "left")
+
+
+def score_ranges(rows: DataFrame) -> DataFrame:
+    """(query_id, range): the least and the greatest score of each query as text, to four digits; N/A without scores."""
+    shown = F.format_string("[%.4f, %.4f]", F.min("score"), F.max("score"))
+    return rows.groupBy("query_id").agg(F.when(F.count("score") > 0, shown).otherwise("N/A").alias("range"))
+
+
+def picked_by_index(candidates: DataFrame, picks: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, place): candidates that a model names by exactly their index, each once, at most ``most``.
+
+    ``candidates`` has query_id, id and pos (from 0), ``picks`` query_id and picks
+    (array<string>); what is no index of a candidate is ignored.
+    """
+    named = picks.select("query_id", F.posexplode("picks").alias("at", "pick")).select("query_id", "at", F.trim("pick").alias("pick"))
+    met = candidates.withColumn("pick", F.col("pos").cast("string")).join(named, ["query_id", "pick"])
+    return _first_picks(met, most)
+
+
+def picked_by_line(candidates: DataFrame, picks: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, place): candidates that a model names by lines ``[index] text``.
+
+    An index that is no candidate's is corrected by the text behind the bracket, to the
+    first candidate with that text; lines without brackets are ignored. ``candidates`` has
+    query_id, id, pos and text.
+    """
+    line = F.col("line")
+    split = picks.select("query_id", F.posexplode("picks").alias("at", "line")).where(F.contains(line, F.lit("[")) & F.contains(line, F.lit("]")))
+    inside = F.trim(F.regexp_extract(line, r"^[^\[]*\[([^\]]*)\]", 1))
+    rest = F.trim(F.regexp_extract(line, r"(?s)^[^\]]*\](.*)$", 1))
+    named = split.select("query_id", "at", inside.alias("pick"), rest.alias("line_text"))
+    known = candidates.select("query_id", F.col("pos").cast("string").alias("pick"), F.col("id").alias("by_index"))
+    texts = candidates.groupBy("query_id", F.trim("text").alias("line_text")).agg(F.min_by("id", "pos").alias("by_text"))
+    met = named.join(known, ["query_id", "pick"], "left").join(texts, ["query_id", "line_text"], "left")
+    return _first_picks(met.select("query_id", "at", F.coalesce("by_index", "by_text").alias("id")).where("id is not null"), most)
+
+
+def _first_picks(met: DataFrame, most: int) -> DataFrame:
+    once = met.groupBy("query_id", "id").agg(F.min("at").alias("at"))
+    return per_key_limit(once, ["query_id"], [F.col("at"), F.col("id")], most).select("query_id", "id", "place")
+
+
+def native_fill(sections: DataFrame, native: DataFrame, most: int) -> DataFrame:
+    """(query_id, place, chunk_id, is_fill): the sections, then native hits whose chunk is not there yet, up to ``most``.
+
+    Both have query_id, chunk_id and place; a chunk that comes twice counts at its first place.
+    """
+    tiers = [t.select("query_id", "chunk_id", F.lit(i).alias("tier"), F.col("place").alias("at")) for i, t in enumerate((sections, native))]
+    first = tiers[0].unionByName(tiers[1]).groupBy("query_id", "chunk_id").agg(F.min(F.struct("tier", "at")).alias("b"))
+    placed = per_key_limit(first, ["query_id"], [F.col("b.tier"), F.col("b.at"), F.col("chunk_id")], most)
+    return placed.select("query_id", "place", "chunk_id", (F.col("b.tier") == 1).alias("is_fill"))

@@ -53,3 +53,33 @@ class GraphConfig(_Checked):
     ranked_events: int = 100
     rrf_k: int = 60
     max_results: int = 10
+    relation_multiplier: int = 3
+    relation_threshold: float = 0.45
+    rerank_top_k: int = 10
+    fill_threshold: float = 0.3
+
+
+@dataclass(frozen=True)
+class ScopeConfig(GraphConfig):
+    event_top_k: int = 1000
+    #: most edges of a query's scope, 0 for all
+    scope_edges: int = 0
+
+
+@dataclass(frozen=True)
+class PickConfig(_Checked):
+    """Plans whose last choice is a model's: the atomic plan's values."""
+
+    entity_top_k: int = 20
+    entity_events: int = 20
+    multi_top_k: int = 20
+    similarity_threshold: float = 0.4
+    max_hops: int = 1
+    #: most events of a hop, 0 for all
+    hop_events: int = 0
+    max_events: int = 1000
+    pick_top_k: int = 5
+    max_sections: int = 10
+
+
+PRECISE = PickConfig(entity_events=40, hop_events=2000, max_events=100)

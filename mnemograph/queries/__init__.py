@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemograph.queries import evaluation, pipeline, retrieval, scalars  # noqa: F401
+from mnemograph.queries import evaluation, pipeline, plans, records, retrieval, scalars  # noqa: F401
 from mnemograph.queries.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -211,12 +211,13 @@ ent_hit AS (SELECT * FROM (SELECT n.query_id, n.id, n.score, row_number() OVER (
   FROM (SELECT DISTINCT s.query_id, e.event_id AS id FROM seed s JOIN edge e USING (entity_id)) p JOIN near n USING (query_id, id)) WHERE n <= 20),
 merged AS (SELECT query_id, id, max(score) AS score, max(e) = 1 AS from_entity, max(v) = 1 AS from_vector FROM
   (SELECT query_id, id, score, 1 AS e, 0 AS v FROM ent_hit UNION ALL SELECT query_id, id, score, 0, 1 FROM vec_hit) GROUP BY ALL),
-spread AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM merged),
-fast AS (SELECT query_id, id, score, from_entity, from_vector, 0.85 * CASE WHEN hi - lo <= 1e-9 THEN 1 ELSE (score - lo) / (hi - lo) END
-  + CASE WHEN from_entity THEN 0.15 ELSE 0 END + CASE WHEN from_entity AND from_vector THEN 0.05 ELSE 0 END AS fast_score FROM spread)"""
+touched AS (SELECT DISTINCT s.query_id, e.event_id AS id, true AS touches_seed FROM seed s JOIN edge e USING (entity_id)),
+spread AS (SELECT m.*, coalesce(t.touches_seed, false) AS touches_seed, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM merged m LEFT JOIN touched t USING (query_id, id)),
+fast AS (SELECT query_id, id, score, from_entity, from_vector, touches_seed, 0.85 * CASE WHEN hi - lo <= 1e-9 THEN 1 ELSE (score - lo) / (hi - lo) END
+  + CASE WHEN touches_seed THEN 0.15 ELSE 0 END + CASE WHEN from_entity AND from_vector THEN 0.05 ELSE 0 END AS fast_score FROM spread)"""
 
 
-@query(f"WITH {EVENTS_SQL}, {_TWO_SQL} SELECT query_id, id, round(score, 6) AS score, from_entity, from_vector, round(fast_score, 6) AS fast_score FROM fast")
+@query(f"WITH {EVENTS_SQL}, {_TWO_SQL} SELECT query_id, id, round(score, 6) AS score, from_entity, from_vector, touches_seed, round(fast_score, 6) AS fast_score FROM fast")
 def r5_two_channel(spark, sf_dir):
     """Entity and vector hits in one list with the fast score."""
     _, queries, seeds, edges, vectors = _setting(spark, sf_dir)
@@ -236,6 +237,31 @@ def q4_fast_search(spark, sf_dir):
     return retrieval.fast_search(queries, seeds, edges, vectors, **EVENT_TYPES).withColumn("score", F.round("score", 6))
 
 
+_SCORE = FLAT_SQL.format(a="q.vec", b="{v}.vec")
+#: title vectors of the live events; they stand for the vectors of an entity's relation to its event
+TITLES_SQL = """
+tv AS (SELECT event_id, CAST(e.title_vector AS DOUBLE[]) AS vec FROM event WHERE event_id IN (SELECT event_id FROM ev) AND len(e.title_vector) = 128
+  AND len(list_filter(e.title_vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(e.title_vector, lambda x: x <> 0)) > 0)"""
+
+
+def title_vectors(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    rows = filters.latest(table(spark, sf_dir, "event_vectors").select("event_id", "created_time", "title_vector"), "event_id", "created_time")
+    v = F.col("title_vector")
+    usable = filters.finite_vector(v, 128) & F.exists(v, lambda x: x != 0)
+    return rows.where(usable).join(events.select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("id"), v.cast("array<double>").alias("vec"))
+
+
+def _best(rows: str, n: int, order: str = "round(score, 9) DESC, id", place: str = "place") -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS {place} FROM ({rows}) QUALIFY {place} <= {n})"
+
+
+#: K10 over a front (query_id, id) of events: new entities by relation similarity, and their relations
+RELATED_SQL = f"""
+rel_near AS (SELECT f.query_id, e.event_id, e.entity_id, {_SCORE.format(v="tv")} AS score FROM front f JOIN edge e ON e.event_id = f.id JOIN tv ON tv.event_id = e.event_id JOIN q USING (query_id)),
+rel_top AS (SELECT * FROM {_best("SELECT * FROM rel_near", 45, "round(score, 9) DESC, event_id, entity_id")} WHERE score >= 0.45),
+rel_new AS (SELECT r.* FROM rel_top r ANTI JOIN seed s ON s.query_id = r.query_id AND s.entity_id = r.entity_id),
+rel_first AS {_best("SELECT query_id, entity_id, min(place) AS spot FROM rel_new GROUP BY ALL", 15, "spot", "n")},
+related AS (SELECT r.query_id, r.entity_id, r.event_id, r.score, r.place FROM rel_new r SEMI JOIN rel_first f ON f.query_id = r.query_id AND f.entity_id = r.entity_id)"""
 _GRAPH_SQL = f"""
 near AS (SELECT q.query_id, ev.event_id AS id, {FLAT_SQL.format(a="q.vec", b="ev.vec")} AS score FROM q, ev),
 path_a AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM near WHERE score >= 0.3) WHERE n <= 20),
@@ -244,8 +270,8 @@ pair_b AS (SELECT query_id, entity_id, event_id FROM (SELECT s.query_id, s.entit
 path_b AS (SELECT DISTINCT b.query_id, b.event_id AS id, n.score FROM pair_b b JOIN near n ON n.query_id = b.query_id AND n.id = b.event_id WHERE n.score >= 0.3),
 recalled AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM path_a UNION ALL SELECT * FROM path_b) GROUP BY ALL),
 front AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM recalled) WHERE n <= 15),
-ent AS (SELECT query_id, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, entity_id) AS n FROM
-  (SELECT f.query_id, e.entity_id, max(f.score) AS s FROM front f JOIN edge e ON e.event_id = f.id ANTI JOIN seed x ON x.query_id = f.query_id AND x.entity_id = e.entity_id GROUP BY ALL)) WHERE n <= 15),
+{RELATED_SQL},
+ent AS (SELECT DISTINCT query_id, entity_id FROM related),
 pair_x AS (SELECT query_id, entity_id, event_id FROM (SELECT t.query_id, t.entity_id, e.event_id, row_number() OVER (PARTITION BY t.query_id, t.entity_id ORDER BY e.event_id) AS n
   FROM ent t JOIN edge e USING (entity_id) ANTI JOIN recalled r ON r.query_id = t.query_id AND r.id = e.event_id) WHERE n <= 10),
 new_event AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM
@@ -263,17 +289,18 @@ final AS (SELECT query_id, id, score, place FROM ({_RANKED.format("SELECT * FROM
 def _graph_search(spark: SparkSession, sf_dir: str):
     events, queries, seeds, edges, vectors = _setting(spark, sf_dir)
     index = bm25.Index(events, "event_id", ["title", "content"])
-    ranked, routes = retrieval.graph_search(queries, seeds, edges, vectors, GraphConfig(), index, {"title": 2.0, "content": 1.0}, **EVENT_TYPES)
+    relations = graph.relations_of(edges, title_vectors(spark, sf_dir, events))
+    ranked, routes = retrieval.graph_search(queries, seeds, edges, vectors, GraphConfig(), index, {"title": 2.0, "content": 1.0}, relations, **EVENT_TYPES)
     return events, ranked, routes
 
 
-@query(f"WITH {EVENTS_SQL}, {_GRAPH_SQL} SELECT query_id, id, round(score, 6) AS score, place FROM final")
+@query(f"WITH {EVENTS_SQL}, {TITLES_SQL}, {_GRAPH_SQL} SELECT query_id, id, round(score, 6) AS score, place FROM final")
 def q6_graph_search(spark, sf_dir):
     """Recall on two paths, expansion, rank fusion."""
     return _graph_search(spark, sf_dir)[1].withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {EVENTS_SQL}, {_GRAPH_SQL},
+@query(f"""WITH {EVENTS_SQL}, {TITLES_SQL}, {_GRAPH_SQL},
 chunk AS (SELECT article_id, arg_min(c, {{'r': chunk_rank, 'i': chunk_id}}) AS c FROM (SELECT article_id, chunk_rank, chunk_id, c FROM chunk_draft c) WHERE article_id IS NOT NULL GROUP BY article_id),
 hit AS (SELECT f.query_id, f.place AS at_place, f.id AS event_id, c.chunk_id AS chunk_id, coalesce(c.heading, '') AS heading, coalesce(c.content, '') AS content
   FROM final f JOIN ev ON ev.event_id = f.id JOIN chunk ON chunk.article_id = ev.source_id),
