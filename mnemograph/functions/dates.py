@@ -11,6 +11,11 @@ def parse_iso(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00")).cast("timestamp_ntz")
 
 
+def strip_timezone(text: Column) -> Column:
+    """A time with an offset as a naive UTC time; one without stays as it is, what is none is null."""
+    return parse_iso(text)
+
+
 def whole_days(then: Column, now: Column) -> Column:
     return F.floor((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))) / 86400)
 

@@ -7,6 +7,8 @@ such value, so that a chain of parsers is a coalesce. Null and blank texts have
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def _value(kind: Column | str, confidence: Column | float, unit: Column | None =
     return F.struct(*parts, (F.lit(None) if unit is None else unit).cast("string").alias("unit"), F.lit(confidence).cast("double").alias("confidence"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -48,7 +55,8 @@ def _moment(text: Column, pattern: str, n: int) -> Column:
 
 
 def _first_moment(*options: tuple[Column, float]) -> Column:
-    return F.coalesce(*(F.when(when.isNotNull(), _value("datetime", sure, datetime_value=when)) for when, sure in options))
+    of = lambda when, sure: _bound(when, lambda w: F.when(w.isNotNull(), _value("datetime", sure, datetime_value=w)))
+    return F.coalesce(*(of(when, sure) for when, sure in options))
 
 
 def parse_datetime(text: Column) -> Column:
@@ -81,17 +89,19 @@ def numeral_value(text: Column) -> Column:
         return F.struct(F.when(n < 10, state["total"] + n * state["unit"]).otherwise(state["total"]).alias("total"), unit.alias("unit"))
 
     total = F.aggregate(F.reverse(F.split(text, "")), start, add, lambda s: s["total"])
-    return F.when(text.rlike(f"^[{''.join(NUMERALS)}]+$") & (total > 0), total)
+    return F.when(text.rlike(f"^[{''.join(NUMERALS)}]+$"), F.nullif(total, F.lit(0.0)))
 
 
 def _typed_number(value: Column, written: Column, unit: Column, confidence: float, force: str | None) -> Column:
     """int or float; whole numbers are int unless ``force`` says otherwise, and int refuses a point or an exponent."""
-    has_point = written.rlike("[.eE]")
-    whole = value == F.floor(value)
-    kind = F.lit(force) if force else F.when(whole, "int").otherwise("float")
-    fits = F.lit(True) if force != "int" else ~has_point
-    as_int = F.when((kind == "int") & (F.abs(value) < 9e18), F.floor(value))
-    return F.when(value.isNotNull() & fits, _value(kind, confidence, unit, int_value=as_int, float_value=F.when(kind == "float", value)))
+    fits = F.lit(True) if force != "int" else ~written.rlike("[.eE]")
+
+    def typed(n: Column) -> Column:
+        is_int = F.lit(force == "int") if force else n == F.floor(n)
+        as_int = F.when(is_int & (F.abs(n) < 9e18), F.floor(n))
+        return F.when(n.isNotNull() & fits, _value(F.when(is_int, "int").otherwise("float"), confidence, unit, int_value=as_int, float_value=F.when(~is_int, n)))
+
+    return _bound(value, typed)
 
 
 def parse_number(text: Column, unit: str | None = None, force: str | None = None) -> Column:
@@ -152,26 +162,29 @@ def parse_value(kind: Column, text: Column, constraint: str | None = None, unit:
     members of ``values``, words of truth, and the text itself. With a constraint (int,
     float, enum, datetime, bool, text) only that type is tried and may give null.
     """
-    plain = stripped(text)
-    as_text = _value("text", 1.0)
-    if constraint in ("int", "float"):
-        found = parse_number(plain, unit, constraint)
-    elif constraint == "datetime":
-        found = F.coalesce(parse_compact_datetime(plain), parse_datetime(plain))
-    elif constraint == "enum":
-        found = parse_enum(plain, values or [])
-    elif constraint == "bool":
-        found = parse_bool(plain)
-    elif constraint == "text":
-        found = as_text
-    elif constraint:
+    if constraint not in (None, "int", "float", "datetime", "enum", "bool", "text"):
         raise ValueError(f"no such type: {constraint}")
-    else:
-        is_time = F.lower(F.coalesce(kind, F.lit(""))).rlike("|".join(TIME_TYPES))
-        options = [F.when(is_time, parse_compact_datetime(plain)), parse_datetime(plain), parse_number(plain, unit)]
-        options += [parse_enum(plain, values)] if values else []
-        found = F.coalesce(*options, parse_bool(plain), as_text)
-    return F.when(plain != "", found.withField("raw", plain))
+    as_text = _value("text", 1.0)
+
+    def parsed(plain: Column) -> Column:
+        if constraint in ("int", "float"):
+            found = parse_number(plain, unit, constraint)
+        elif constraint == "datetime":
+            found = F.coalesce(parse_compact_datetime(plain), parse_datetime(plain))
+        elif constraint == "enum":
+            found = parse_enum(plain, values or [])
+        elif constraint == "bool":
+            found = parse_bool(plain)
+        elif constraint == "text":
+            found = as_text
+        else:
+            is_time = F.lower(F.coalesce(kind, F.lit(""))).rlike("|".join(TIME_TYPES))
+            options = [F.when(is_time, parse_compact_datetime(plain)), parse_datetime(plain), parse_number(plain, unit)]
+            options += [parse_enum(plain, values)] if values else []
+            found = F.coalesce(*options, parse_bool(plain), as_text)
+        return F.when(plain != "", found.withField("raw", plain))
+
+    return _bound(stripped(text), parsed)
 
 
 def raw_value(name: Column, value: Column, unit: Column, kind: Column) -> Column:
@@ -193,17 +206,15 @@ def typed_value(kind: Column, name: Column, value_type: Column | None = None, va
 
     A model's type holds even where its value cannot be read; its confidence is 0.90.
     """
-    own = parse_value(kind, name)
     columns = lambda v: [v[c].alias(c) for c in _KINDS]
-    parsed = F.struct(
+    parsed = _bound(parse_value(kind, name), lambda own: F.struct(
         F.coalesce(own["type"], F.lit("text")).alias("value_type"), F.coalesce(own["raw"], name, F.lit("")).alias("value_raw"), *columns(own),
         own["unit"].alias("value_unit"), F.coalesce(own["confidence"], F.lit(1.0)).alias("value_confidence"), F.lit("code").alias("origin"),
-    )
+    ))
     if value_type is None:
         return parsed
-    given = parse_value(kind, value)
-    by_model = F.struct(
+    by_model = _bound(parse_value(kind, value), lambda given: F.struct(
         value_type.alias("value_type"), raw_value(name, value, unit, value_type).alias("value_raw"), *columns(given),
         F.coalesce(F.nullif(unit, F.lit("")), given["unit"]).alias("value_unit"), F.lit(0.90).alias("value_confidence"), F.lit("model").alias("origin"),
-    )
+    ))
     return F.when(value_type.isin("text", "int", "float", "datetime", "bool", "enum"), by_model).otherwise(parsed)

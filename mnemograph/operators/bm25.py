@@ -44,9 +44,9 @@ def search(queries: DataFrame, index: Index, boosts: dict[str, float], among: Da
     """
     asked = queries.where(F.trim("text") != "").select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     known = asked.select("term").distinct()
-    postings = index.postings.join(known, "term", "left_semi")
+    postings = index.postings.where(F.col("field").isin(*boosts)).join(known, "term", "left_semi")
     df = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    statistics = F.broadcast(index.statistics.limit(len(boosts) + 16))  # a row for each field
+    statistics = F.broadcast(index.statistics.where(F.col("field").isin(*boosts)))  # a row for each boosted field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     weighed = postings.join(df, ["field", "term"]).join(statistics, "field").select("id", "field", "term", (idf * F.col("tf") / norm).alias("weight"))
@@ -61,14 +61,17 @@ def search(queries: DataFrame, index: Index, boosts: dict[str, float], among: Da
 def substring_score(queries: DataFrame, rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(query_id, id, score): how often the query's words occur in the joined fields, as substrings.
 
-    Every query meets every row; meant for a bounded set of queries, which is broadcast
-    after a check of its size.
+    Words meet the rows that hold their first characters in an equality join, and each
+    distinct word is counted once for a row, whatever the number of queries that ask for it.
+    A word that a query repeats counts each time; blank queries find nothing.
     """
-    from mnemograph.session import broadcast_if_small
+    from mnemograph.operators.filters import containing
 
     words = F.filter(F.split(F.trim(F.lower("text")), r"\s+"), lambda w: w != "")
-    asked = broadcast_if_small(queries.select("query_id", words.alias("words")).where(F.size("words") > 0), 10_000)
+    asked = queries.select("query_id", F.explode(words).alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"))
     text = F.lower(F.concat_ws(" ", *(F.coalesce(f, F.lit("")) for f in fields)))
     body = rows.select(F.col(key).alias("id"), text.alias("body"))
-    times = F.aggregate("words", F.lit(0), lambda s, w: s + ((F.length("body") - F.length(F.replace(F.col("body"), w, F.lit("")))) / F.length(w)).cast("int"))
-    return body.join(asked, F.exists("words", lambda w: F.contains(F.col("body"), w))).select("query_id", "id", times.cast("bigint").alias("score")).where("score > 0")
+    met = containing(body, "id", "body", asked, "word").join(body, "id")
+    times = ((F.length("body") - F.length(F.replace(F.col("body"), F.col("needle"), F.lit("")))) / F.length("needle")).cast("bigint")
+    counted = met.select("id", F.col("needle").alias("word"), times.alias("times"))
+    return asked.join(counted, "word").groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("n")).alias("score")).where("score > 0")

@@ -78,6 +78,28 @@ def token_f1(predicted: Column, gold: Column) -> Column:
     return F.when((F.size(predicted) == 0) | (F.size(gold) == 0), (F.size(predicted) == F.size(gold)).cast("double")).when(same == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
+def answer_scores(answers: DataFrame, golds: DataFrame) -> DataFrame:
+    """(id, em, f1): exact match and token F1 of each answer (id, answer), the best over its golds (id, gold).
+
+    Texts are cut to words once; words with their counts meet by an equality join, so the
+    work grows with the words, not with their square. Null golds count as empty, repeated
+    golds once; an answer without golds is left out.
+    """
+    from mnemograph.functions.text import answer_tokens
+
+    empty = F.array().cast("array<string>")
+    p = answers.select("id", F.coalesce(answer_tokens(F.col("answer")), empty).alias("p"))
+    g = golds.select("id", F.coalesce(answer_tokens(F.col("gold")), empty).alias("g")).distinct().withColumn("gold_no", F.xxhash64("g"))
+    count = lambda rows, keys, words, n: rows.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias(n))
+    met = count(g, ["id", "gold_no"], "g", "n_g").join(count(p, ["id"], "p", "n_p"), ["id", "word"])
+    same = met.groupBy("id", "gold_no").agg(F.sum(F.least("n_g", "n_p")).alias("same"))
+    pairs = g.join(p, "id").select("id", "gold_no", (F.col("p") == F.col("g")).cast("int").alias("em"), F.size("p").alias("n_p"), F.size("g").alias("n_g"))
+    both = pairs.join(same, ["id", "gold_no"], "left").withColumn("same", F.coalesce("same", F.lit(0)))
+    precision, recall = F.try_divide("same", "n_p"), F.try_divide("same", "n_g")
+    value = F.when((F.col("n_p") == 0) | (F.col("n_g") == 0), (F.col("n_p") == F.col("n_g")).cast("double")).when(F.col("same") == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+    return both.groupBy("id").agg(F.max("em").alias("em"), F.max(value).alias("f1"))
+
+
 def f_beta(tp: Column, fp: Column, fn: Column, beta: float = 1.0) -> Column:
     small = 1e-10
     p, r = tp / (tp + fp + small), tp / (tp + fn + small)

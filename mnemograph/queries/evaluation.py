@@ -89,9 +89,10 @@ scored AS (SELECT id, any_value(question_type) AS question_type, max(CASE WHEN p
 @query(f"WITH {_QA_SQL} SELECT id, question_type, em, round(f1, 6) AS f1 FROM scored")
 def a12_answer_scores(spark, sf_dir):
     """Exact match and token F1 of every answer, the best over its ground truths."""
-    p, g = text.answer_tokens(F.col("answer")), text.answer_tokens(F.col("gold"))
-    scored = _answer_pairs(spark, sf_dir).select("id", "question_type", F.when(p == g, 1).otherwise(0).alias("em"), metrics.token_f1(p, g).alias("f1"))
-    return scored.groupBy("id").agg(F.first("question_type").alias("question_type"), F.max("em").alias("em"), F.round(F.max("f1"), 6).alias("f1"))
+    g = table(spark, sf_dir, "generation_samples").where("answer is not null")
+    golds = g.select("id", F.explode(text.ground_truths(F.col("ground_truth"))).alias("gold"))
+    scored = metrics.answer_scores(g.select("id", "answer"), golds)
+    return scored.join(g.select("id", "question_type"), "id").select("id", "question_type", "em", F.round("f1", 6).alias("f1"))
 
 
 @query(f"WITH {_QA_SQL} SELECT coalesce(question_type, 'Uncategorized') AS question_type, round(avg(em), 4) AS em, round(avg(f1), 4) AS f1, count(*) AS n FROM scored GROUP BY 1")

@@ -24,11 +24,61 @@ def c6_heading_sections(spark, sf_dir):
     return chunking.heading_sections(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+_TOKENS = "CAST(floor((8 * (length({x}) - length(regexp_replace({x}, '[一-鿿]', '', 'g'))) + 3 * length(regexp_replace({x}, '[一-鿿]', '', 'g'))) / 12) AS BIGINT)"
+
+
+def _chunks_sql(limit: int, strict: bool) -> str:
+    """The packing as a fold over units: small sections, and the paragraphs of large ones."""
+    fits = f"f.size + r.n <= {limit}"
+    heading = " AND r.h = f.first_h" if strict else ""
+    same = f"((NOT r.alone AND NOT f.alone AND {fits}{heading}) OR (r.alone AND f.alone AND f.i = r.i AND {fits}))"
+    return rf"""
+WITH RECURSIVE s AS (SELECT article_id AS doc, order_index AS i, coalesce(heading, '') AS h, regexp_replace(coalesce(content, ''), '^[\s　\x{{A0}}]+|[\s　\x{{A0}}]+$', '', 'g') AS c, coalesce(section_type, 'TEXT') AS kind
+  FROM section_draft WHERE article_id IS NOT NULL AND (section_type IS NULL OR section_type <> 'IMAGE')),
+sized AS (SELECT *, {_TOKENS.format(x="c")} AS n FROM s),
+para AS (SELECT doc, i, h, kind, unnest(string_split(c, chr(10) || chr(10))) AS c, unnest(range(len(string_split(c, chr(10) || chr(10))))) AS p FROM sized WHERE n > 600),
+unit AS (SELECT doc, i, 0 AS p, h, kind, c, n, false AS alone FROM sized WHERE n <= 600 UNION ALL SELECT doc, i, p, h, kind, c, {_TOKENS.format(x="c")}, true FROM para),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY i, p) AS k FROM unit),
+fold AS (SELECT doc, k, CAST(0 AS BIGINT) AS chunk, n AS size, alone, i, h AS first_h, k AS first_k FROM ranked WHERE k = 1
+  UNION ALL SELECT r.doc, r.k, CASE WHEN {same} THEN f.chunk ELSE f.chunk + 1 END, CASE WHEN {same} THEN f.size + r.n ELSE r.n END, r.alone, r.i, CASE WHEN {same} THEN f.first_h ELSE r.h END, CASE WHEN {same} THEN f.first_k ELSE r.k END FROM fold f JOIN ranked r ON r.doc = f.doc AND r.k = f.k + 1),
+joined AS (SELECT r.doc, f.chunk, bool_or(r.alone) AS alone, regexp_replace(array_to_string(list(CASE WHEN r.alone AND r.k > f.first_k THEN chr(10) || r.c ELSE r.c END ORDER BY r.k), chr(10)), '^[\s　\x{{A0}}]+|[\s　\x{{A0}}]+$', '', 'g') AS content,
+  arg_min(r.h, r.k) FILTER (r.h <> '') AS heading, arg_min(r.kind, r.k) AS section_type, list(r.i ORDER BY r.k) AS spots FROM fold f JOIN ranked r USING (doc, k) GROUP BY r.doc, f.chunk, r.alone)
+SELECT doc, CAST(chunk AS INTEGER) AS rank, CAST(CASE WHEN alone THEN 1 ELSE len(spots) END AS INTEGER) AS n_sections, CAST({_TOKENS.format(x="content")} AS INTEGER) AS n_tokens, coalesce(heading, '') AS heading, content, section_type,
+  CASE WHEN alone THEN spots[1:1] ELSE spots END AS section_order_indices FROM joined"""
+
+
+def _sections(spark, sf_dir):
+    return table(spark, sf_dir, "section_draft").where("section_type is null or section_type != 'IMAGE'")
+
+
+@query(_chunks_sql(1000, False))
 def c5_assembled_chunks(spark, sf_dir):
-    """Sections packed into chunks (tested against a plain fold)."""
-    s = table(spark, sf_dir, "section_draft").where("section_type is null or section_type != 'IMAGE'")
-    return chunking.assemble_chunks(s, "article_id", "order_index", "heading", "content", 1000)
+    """Sections packed into chunks."""
+    return chunking.assemble_chunks(_sections(spark, sf_dir), "article_id", "order_index", "heading", "content", 1000, "section_type")
+
+
+@query(_chunks_sql(200, True))
+def c5_strict_chunks(spark, sf_dir):
+    """Small chunks that end where the heading changes."""
+    return chunking.assemble_chunks(_sections(spark, sf_dir), "article_id", "order_index", "heading", "content", 200, "section_type", heading_strict=True)
+
+
+@query(r"""
+WITH line AS (SELECT doc_id, i - 1 AS i, string_split(text, chr(10))[i] AS x FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+marked AS (SELECT *, regexp_matches(x, '^#{1,6}\s+.+') AS h FROM line)
+SELECT doc_id AS doc, CAST(sum(length(regexp_replace(x, '\s', '', 'g'))) FILTER (NOT h) AS BIGINT) AS n_characters FROM marked GROUP BY doc_id HAVING coalesce(sum(length(regexp_replace(x, '\s', '', 'g'))) FILTER (NOT h), 0) > 0
+""")
+def c4_section_texts(spark, sf_dir):
+    """Sections of every document; together they hold all its text but the headings."""
+    s = chunking.block_sections(table(spark, sf_dir, "documents"), "doc_id", "text", 64)
+    counted = s.groupBy("doc").agg(F.sum(F.length(F.regexp_replace("content", r"\s", ""))).cast("bigint").alias("n_characters"))
+    return counted.select(F.col("doc").cast("bigint").alias("doc"), "n_characters").where("n_characters > 0")
+
+
+@query()
+def c11_loaded_chunks(spark, sf_dir):
+    """Every document to sections and chunks with ids and references (tested against a plain fold)."""
+    return chunking.load_documents(table(spark, sf_dir, "documents"), "doc_id", "text")[2]
 
 
 @query("""
@@ -60,31 +110,13 @@ def a33_merged_descriptions(spark, sf_dir):
     return extraction.merged_descriptions(e, ["entity_type", "key"], "description", ["created_time", "entity_id"])
 
 
-@query(r"""
-SELECT DISTINCT entity_id, updated_time, name, CASE WHEN regexp_matches(trim(name), '^\d{4}-\d{1,2}-\d{1,2}$') THEN try_strptime(trim(name), '%Y-%m-%d') WHEN regexp_matches(trim(name), '^\d{4}-\d{1,2}$') THEN try_strptime(trim(name) || '-1', '%Y-%m-%d')
-  WHEN regexp_matches(trim(name), '^(19[7-9]\d|20\d\d)$') THEN make_timestamp(CAST(trim(name) AS BIGINT), 1, 1, 0, 0, 0) END AS date_value
-FROM sag2_entity WHERE entity_type = 'time' AND name IS NOT NULL AND (regexp_matches(trim(name), '^\d{4}-\d{1,2}(-\d{1,2})?$') OR regexp_matches(trim(name), '^(19[7-9]\d|20\d\d)$'))
-""")
-def e12_time_values(spark, sf_dir):
-    """Dates of time entities that are written in numbers."""
-    e = table(spark, sf_dir, "sag2_entity").where("entity_type = 'time' and name is not null").where(F.trim("name").rlike(r"^\d{4}-\d{1,2}(-\d{1,2})?$") | F.trim("name").rlike(r"^(19[7-9]\d|20\d\d)$"))
-    return e.select("entity_id", "updated_time", "name", extraction.date_value(F.col("name")).alias("date_value")).distinct()
-
-
-@query()
-def e6_typed_values(spark, sf_dir):
-    """The typed value of every entity name (tested on known cases)."""
-    e = table(spark, sf_dir, "sag2_entity").where("name is not null")
-    return e.select("entity_id", "updated_time", extraction.typed_value(F.col("entity_type"), F.col("name")).alias("v")).select("entity_id", "updated_time", "v.*")
-
-
 @query("""
-WITH e AS (SELECT event_id, unnest(entity_ids) AS entity_id FROM event_vectors) SELECT DISTINCT entity_id FROM e WHERE entity_id IS NOT NULL AND entity_id NOT IN (SELECT entity_id FROM sag2_entity)
+WITH e AS (SELECT event_id, unnest(entity_ids) AS entity_id FROM event_vectors) SELECT DISTINCT entity_id FROM e WHERE entity_id IS NOT NULL AND entity_id NOT IN (SELECT entity_id FROM sag2_entity WHERE description IS NOT NULL)
 """)
 def u4_missing_entities(spark, sf_dir):
-    """Entity ids that events name and no entity has."""
+    """Entity ids that events name and no described entity has."""
     named = table(spark, sf_dir, "event_vectors").select(F.explode("entity_ids").alias("entity_id")).where("entity_id is not null").distinct()
-    return sinks.missing_after(named, table(spark, sf_dir, "sag2_entity"), "entity_id")
+    return sinks.missing_after(named, table(spark, sf_dir, "sag2_entity").where("description is not null"), "entity_id")
 
 
 @query("""

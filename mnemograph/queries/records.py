@@ -67,15 +67,10 @@ def f4_allowed_chunks(spark, sf_dir):
     return filters.allowed(c.where(filters.in_sources(F.col("source_config_id"), largest)), articles, "article_id")
 
 
-@query(f"""WITH {EVENTS_SQL}, wanted AS (SELECT DISTINCT event_id, CAST(row_number() OVER (ORDER BY event_id DESC) AS INTEGER) AS pos FROM event)
-SELECT w.event_id, w.pos FROM wanted w WHERE w.event_id IN (SELECT event_id FROM ev)""")
+@query(f"""WITH {EVENTS_SQL} SELECT event_id, CAST('0x' || event_id[1:7] AS BIGINT) AS pos FROM event WHERE event_id IN (SELECT event_id FROM ev)""")
 def f12_active_events(spark, sf_dir):
-    """of all events in a given order those that are live, with their positions."""
-    from pyspark.sql import Window
-
-    ids = table(spark, sf_dir, "event_vectors").select("event_id").distinct()
-    # positions are given by the caller; here they come from an order over the bare ids
-    wanted = ids.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("event_id"))))
+    """of all events in a given order (by a number in their id) those that are live, with their positions."""
+    wanted = table(spark, sf_dir, "event_vectors").select("event_id", F.conv(F.substring("event_id", 1, 7), 16, 10).cast("bigint").alias("pos")).distinct()
     events, *_ = _setting(spark, sf_dir)
     return filters.in_given_order(wanted, events, "event_id")
 
@@ -184,9 +179,6 @@ def a29_mean_of_graphs(spark, sf_dir):
 
 # replies
 
-_RATING_TEXT = "CASE id % 6 WHEN 0 THEN '{{\"rating\": ' || r || '}}' WHEN 1 THEN 'I would say ' || r || ' of 2' WHEN 2 THEN '[' || r || ']' WHEN 3 THEN r WHEN 4 THEN '```json {{\"score\": ' || r || '}} ```' ELSE 'none' END"
-
-
 @query("""WITH s AS (SELECT id, CAST(id // 6 % 4 AS VARCHAR) AS r FROM generation_samples),
 v AS (SELECT id, CASE WHEN id % 6 = 5 THEN NULL WHEN CAST(r AS INTEGER) <= 2 THEN CAST(r AS DOUBLE) WHEN id % 6 = 1 THEN 2 END AS rating FROM s)
 SELECT id, rating, CASE WHEN rating IS NULL THEN 0.5 ELSE round((rating / 2 + 0.5) / 2, 6) END AS mean FROM v""")
@@ -304,3 +296,137 @@ def j22_source_times(spark, sf_dir):
 def f16_long_enough(spark, sf_dir):
     """F16: chunks with enough text to extract from."""
     return table(spark, sf_dir, "chunk_draft").select("chunk_id", chunking.long_enough(F.col("content")).alias("worth_extraction"))
+
+
+# scalars
+
+
+@query(r"""SELECT doc_id, CAST(greatest(1, floor((len(regexp_extract_all(text, '[一-鿿]')) * 16 + len(regexp_extract_all(text, '[A-Za-z0-9]')) * 6 + length(regexp_replace(text, '[A-Za-z0-9\s一-鿿]', '', 'g')) * 12) / 24)) AS BIGINT) AS n_tokens,
+  trim(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(x)), chr(10)), ' ') AS cleaned,
+  coalesce(nullif(array_to_string(list_filter([trim(title), trim(text)], lambda x: x IS NOT NULL AND x <> ''), chr(10)), ''), CAST(doc_id AS VARCHAR)) AS rerank_text
+FROM documents WHERE text IS NOT NULL""")
+def x11_cleaned_texts(spark, sf_dir):
+    """X11, X12, X17 over whole documents."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    t = F.col("text")
+    return d.select("doc_id", text.estimate_model_tokens(t).alias("n_tokens"), text.clean_lines(t).alias("cleaned"), text.rerank_text(F.col("title"), t, F.col("doc_id").cast("string")).alias("rerank_text"))
+
+
+@query(r"""SELECT id, CASE WHEN contains(lower(answer), 'answer:') THEN trim(list_last(string_split(lower(answer), 'answer:'))) ELSE lower(trim(answer)) END AS bare, lower(trim(answer)) AS marked,
+  regexp_replace(answer, '^\s+|\s+$', '', 'g') AS unfenced FROM generation_samples WHERE answer IS NOT NULL AND NOT contains(answer, '```')""")
+def x20_answers(spark, sf_dir):
+    """Answers behind a mark, with and without one, and out of a fenced block."""
+    g = table(spark, sf_dir, "generation_samples").where("answer is not null and not contains(answer, '```')")
+    a = F.col("answer")
+    marked = F.concat(F.lit("Thought: so. ANSWER: no answer:  "), a)
+    fenced = F.concat(F.lit("See\n```json\n"), a, F.lit("\n```"))
+    return g.select("id", F.lower(text.extract_answer(a)).alias("bare"), F.lower(text.extract_answer(marked)).alias("marked"), text.strip_fence(F.when(values.stripped(a) == "", F.lit("")).otherwise(fenced)).alias("unfenced"))
+
+
+@query(r"""SELECT id, list_transform(contexts, lambda t: lower(array_to_string(list_transform(string_split(regexp_replace(trim(t), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)))) AS normal FROM retrieval_samples WHERE contexts IS NOT NULL""")
+def x16_evidence_texts(spark, sf_dir):
+    """Contexts in the form in which evidence is compared."""
+    r = table(spark, sf_dir, "retrieval_samples").where("contexts is not null")
+    return r.select("id", F.transform("contexts", text.evidence_text).alias("normal"))
+
+
+@query("""SELECT event_id, created_time, start_time AS parsed, CAST(NULL AS TIMESTAMP) AS broken, start_time - INTERVAL 2 HOUR AS shifted FROM event_vectors WHERE start_time IS NOT NULL""")
+def d1_parsed_times(spark, sf_dir):
+    """ISO texts to naive UTC times, with Z and with an offset; what is none is null."""
+    e = table(spark, sf_dir, "event_vectors").where("start_time is not null")
+    shown = F.date_format(F.col("start_time").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    iso = lambda end: dates.strip_timezone(F.concat(shown, F.lit(end)))
+    return e.select("event_id", "created_time", dates.parse_iso(F.concat(shown, F.lit("Z"))).alias("parsed"), dates.parse_iso(F.concat(F.lit("on "), shown)).alias("broken"), iso("+02:00").alias("shifted"))
+
+
+@query(r"""SELECT entity_id, updated_time, trim(regexp_replace(name, '\s+', ' ', 'g')) AS squeezed, trim(regexp_replace(regexp_replace(lower(name), '[^\p{L}\p{N}\p{M}_\s]', '', 'g'), '\s+', ' ', 'g')) AS key,
+  h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab89ab89ab89ab'[strpos('0123456789abcdef', h[17])] || h[18:20] || '-' || h[21:32] AS node_id
+FROM (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(name)) AS h FROM sag2_entity WHERE name IS NOT NULL)""")
+def x1_name_forms(spark, sf_dir):
+    """Names with single blanks, as keys, and their ids."""
+    e = table(spark, sf_dir, "sag2_entity").where("name is not null")
+    n = F.col("name")
+    return e.select("entity_id", "updated_time", text.squeeze(n).alias("squeezed"), text.entity_key(n).alias("key"), text.text_id(n).alias("node_id"))
+
+
+# typed values
+
+_MAP_SQL = lambda pairs: "MAP {" + ", ".join(f"'{k}': {v}" for k, v in pairs.items()) + "}"
+_VALUES_SQL = r"""
+shape AS (SELECT *, regexp_extract(t, '^([0-9,.]+(?:[eE][+-]?[0-9]+)?)\s*[a-zA-Z一-龥]*$', 1) AS raw_number, nullif(regexp_extract(t, '^[0-9,.]+(?:[eE][+-]?[0-9]+)?\s*([a-zA-Z一-龥]*)$', 1), '') AS found_unit,
+  regexp_replace(regexp_replace(replace(regexp_replace(t, '[年月]', '-', 'g'), '日', ''), '-+', '-', 'g'), '^-|-$', '', 'g') AS c FROM src),
+dates AS (SELECT *,
+  regexp_extract(c, '(\d{4})-(\d{1,2})-(\d{1,2})[\sT]+(\d{1,2}):(\d{1,2}):(\d{1,2})', ['y', 'm', 'd', 'h', 'i', 's']) AS a,
+  regexp_extract(c, '(\d{4})-(\d{1,2})-(\d{1,2})[\sT]+(\d{1,2}):(\d{1,2})', ['y', 'm', 'd', 'h', 'i']) AS b, regexp_extract(c, '(\d{4})-(\d{1,2})-(\d{1,2})', ['y', 'm', 'd']) AS e,
+  regexp_extract(c, '(\d{4})-(\d{1,2})(?:[^\d]|$)', ['y', 'm']) AS f, regexp_extract(c, '^(\d{4})(?:[^\d]|$)', 1) AS g FROM shape),
+made AS (SELECT *, try_cast(a.y || '-' || lpad(a.m, 2, '0') || '-' || lpad(a.d, 2, '0') || ' ' || lpad(a.h, 2, '0') || ':' || lpad(a.i, 2, '0') || ':' || lpad(a.s, 2, '0') AS TIMESTAMP) AS t6,
+  try_cast(b.y || '-' || lpad(b.m, 2, '0') || '-' || lpad(b.d, 2, '0') || ' ' || lpad(b.h, 2, '0') || ':' || lpad(b.i, 2, '0') || ':00' AS TIMESTAMP) AS t5,
+  try_cast(e.y || '-' || lpad(e.m, 2, '0') || '-' || lpad(e.d, 2, '0') AS TIMESTAMP) AS t3, try_cast(f.y || '-' || lpad(f.m, 2, '0') || '-01' AS TIMESTAMP) AS t2,
+  CASE WHEN try_cast(g AS INTEGER) BETWEEN 1970 AND 2099 AND NOT regexp_matches(lower(t), @MARKS) THEN try_cast(g || '-01-01' AS TIMESTAMP) END AS t1,
+  CASE WHEN contains(lower(kind), 'time') THEN CASE WHEN regexp_matches(t, '^\d{14}$') THEN try_strptime(t, '%Y%m%d%H%M%S') WHEN regexp_matches(t, '^\d{12}$') THEN try_strptime(t, '%Y%m%d%H%M')
+    WHEN regexp_matches(t, '^\d{8}$') THEN try_strptime(t, '%Y%m%d') WHEN regexp_matches(t, '^\d{6}$') THEN try_strptime(t, '%Y%m') END END AS tc,
+  try_cast(replace(raw_number, ',', '') AS DOUBLE) * coalesce(map_extract(@UNITS, found_unit)[1], 1) AS num,
+  CASE WHEN length(t) <= 6 AND regexp_matches(t, '^[@NUMERALS]+$') THEN list_reduce(list_prepend([1.0, 0.0], list_transform(list_reverse(string_split(t, '')), lambda x: [CAST(map_extract(@DIGITS, x)[1] AS DOUBLE), 0.0])),
+    lambda s, x: CASE WHEN x[1] < 10 THEN [s[1], s[2] + x[1] * s[1]] WHEN x[1] > s[1] THEN [x[1], s[2]] ELSE [s[1] * x[1], s[2]] END)[2] END AS cn,
+  CASE WHEN length(t) <= 10 AND lower(t) IN @TRUE THEN true WHEN length(t) <= 10 AND lower(t) IN @FALSE THEN false END AS truth FROM dates),
+chosen AS (SELECT *, coalesce(tc, t6, t5, t3, t2, t1) AS day, CASE WHEN tc IS NOT NULL THEN CASE length(t) WHEN 12 THEN 0.92 WHEN 6 THEN 0.9 ELSE 0.95 END WHEN t6 IS NOT NULL THEN 0.98 WHEN t5 IS NOT NULL THEN 0.95 WHEN t3 IS NOT NULL THEN 0.98 WHEN t2 IS NOT NULL THEN 0.9 WHEN t1 IS NOT NULL THEN 0.85 END AS day_sure,
+  coalesce(num, nullif(cn, 0)) AS n FROM made)@SPLIT
+SELECT kind, name, CASE WHEN t = '' THEN 'text' WHEN day IS NOT NULL THEN 'datetime' WHEN n = floor(n) THEN 'int' WHEN n IS NOT NULL THEN 'float' WHEN truth IS NOT NULL THEN 'bool' ELSE 'text' END AS value_type,
+  CASE WHEN t = '' THEN name ELSE t END AS value_raw, CASE WHEN day IS NULL AND n = floor(n) AND abs(n) < 9e18 THEN CAST(n AS BIGINT) END AS int_value, CASE WHEN day IS NULL AND n <> floor(n) THEN n END AS float_value, day AS datetime_value,
+  CASE WHEN day IS NULL AND n IS NULL THEN truth END AS bool_value, CAST(NULL AS VARCHAR) AS enum_value, CASE WHEN day IS NULL AND num IS NOT NULL THEN found_unit END AS value_unit,
+  CASE WHEN day IS NOT NULL THEN day_sure WHEN num IS NOT NULL THEN 0.95 WHEN n IS NOT NULL THEN 0.85 WHEN truth IS NOT NULL THEN 0.95 ELSE 1.0 END AS value_confidence, 'code' AS origin FROM chosen"""
+_VALUES_SQL = (
+    _VALUES_SQL.replace("@MARKS", "'" + "|".join(values.AMOUNT_MARKS).lower() + "'").replace("@UNITS", _MAP_SQL({k: float(v) for k, v in values.UNIT_FACTORS.items()})).replace("@NUMERALS", "".join(values.NUMERALS))
+    .replace("@DIGITS", _MAP_SQL(values.NUMERALS)).replace("@TRUE", str(values.TRUE_WORDS)).replace("@FALSE", str(values.FALSE_WORDS))
+)
+_PARSED_SQL, _TYPED_SQL = _VALUES_SQL.split("@SPLIT")
+_SPELLED = ("name", "name || ' 12km'", "'3,' || CAST(100 + entity_id % 900 AS VARCHAR) || '.5g'", "'20240' || CAST(100 + entity_id % 900 AS VARCHAR)", "'二百三十五'", "'启用'", "CAST(1900 + entity_id % 250 AS VARCHAR) || '年'", "CAST(entity_id AS VARCHAR) || '万元'")
+
+
+@query(rf"""WITH spelled AS (SELECT DISTINCT entity_type AS kind, CASE entity_id % 9 {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SPELLED))} ELSE name END AS name FROM sag2_entity WHERE name IS NOT NULL AND entity_type IS NOT NULL),
+src AS (SELECT kind, name, regexp_replace(name, '^\s+|\s+$', '', 'g') AS t FROM spelled), {_PARSED_SQL} {_TYPED_SQL}""")
+def e6_typed_values(spark, sf_dir):
+    """The typed value of every entity name; a part of the names is written as numbers, dates and words of truth."""
+    e = table(spark, sf_dir, "sag2_entity").where("name is not null and entity_type is not null")
+    written = F.expr(f"CASE entity_id % 9 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_SPELLED)).replace('VARCHAR', 'STRING')} ELSE name END")
+    made = e.select(F.col("entity_type").alias("kind"), written.alias("name")).distinct()
+    return made.select("kind", "name", values.typed_value(F.col("kind"), F.col("name")).alias("v")).select("kind", "name", "v.*")
+
+
+@query(r"""WITH e AS (SELECT entity_id, updated_time, name, ['int', 'text', 'datetime', 'number', 'float'][1 + entity_id % 5] AS value_type, CASE WHEN entity_id % 3 > 0 THEN CAST(entity_id % 97 AS VARCHAR) END AS value, CASE WHEN entity_id % 2 = 0 THEN 'kg' END AS unit FROM sag2_entity WHERE name IS NOT NULL)
+SELECT entity_id, updated_time, CASE WHEN value IS NULL OR value_type = 'text' THEN name
+  WHEN value_type = 'datetime' THEN CASE WHEN regexp_matches(name, '\d{4}年|\d{1,2}月|\d{1,2}日|\d{1,2}[:：点]|\d{4}-') THEN name ELSE name || value END
+  WHEN regexp_matches(name, '\d') THEN CASE WHEN unit IS NOT NULL AND NOT contains(name, unit) THEN name || unit ELSE name END
+  ELSE CASE WHEN unit IS NOT NULL AND NOT contains(name || value, unit) THEN name || value || unit ELSE name || value END END AS value_raw,
+  CASE WHEN value_type <> 'number' AND value IS NOT NULL THEN CAST(value AS BIGINT) END AS model_int FROM e""")
+def e7_raw_values(spark, sf_dir):
+    """Values that a model gave in parts, as one text and typed."""
+    kinds = F.array(*(F.lit(k) for k in ("int", "text", "datetime", "number", "float")))
+    i = F.col("entity_id")
+    e = table(spark, sf_dir, "sag2_entity").where("name is not null").withColumns(
+        {"value_type": F.get(kinds, (i % 5).cast("int")), "value": F.when(i % 3 > 0, (i % 97).cast("string")), "unit": F.when(i % 2 == 0, "kg")}
+    )
+    typed = values.typed_value(F.lit("other"), F.col("name"), F.col("value_type"), F.col("value"), F.col("unit"))
+    raw = values.raw_value(F.col("name"), F.col("value"), F.col("unit"), F.col("value_type"))
+    return e.select("entity_id", "updated_time", raw.alias("value_raw"), typed.alias("t")).select("entity_id", "updated_time", "value_raw", F.when(F.col("t.origin") == "model", F.col("t.int_value")).alias("model_int"))
+
+
+@query("""WITH e AS (SELECT DISTINCT entity_id FROM sag2_entity), t AS (SELECT entity_id, entity_id % 4 AS k, CASE entity_id % 4 WHEN 0 THEN entity_id || '件箱' WHEN 1 THEN '十二箱' WHEN 2 THEN entity_id || '.5箱' ELSE 'none' END AS text FROM e)
+SELECT entity_id, CASE k WHEN 0 THEN entity_id WHEN 1 THEN 2 END AS int_value, CASE k WHEN 2 THEN entity_id + 0.5 END AS float_value, CASE WHEN k < 3 THEN '箱' END AS unit, CASE k WHEN 1 THEN 0.9 WHEN 3 THEN NULL ELSE 0.95 END AS confidence,
+  CASE WHEN k = 0 THEN 'b' WHEN k = 1 THEN 'UNKNOWN' WHEN k = 2 THEN '.5' ELSE 'None' END AS member FROM t""")
+def e10_units_and_members(spark, sf_dir):
+    """Numbers before a given unit, in digits and numerals, and members of a list."""
+    e = table(spark, sf_dir, "sag2_entity").select("entity_id").distinct()
+    i = F.col("entity_id").cast("string")
+    k = F.col("entity_id") % 4
+    written = F.when(k == 0, F.concat(i, F.lit("件箱"))).when(k == 1, "十二箱").when(k == 2, F.concat(i, F.lit(".5箱"))).otherwise("none")
+    v = values.parse_with_unit(written, "箱")
+    asked = F.when(k == 0, "b").when(k == 1, "zz").otherwise(written)
+    return e.select("entity_id", v["int_value"].alias("int_value"), v["float_value"].alias("float_value"), v["unit"].alias("unit"), v["confidence"].alias("confidence"), values.parse_enum(asked, ["b", ".5", "None"])["enum_value"].alias("member"))
+
+
+@query(rf"""WITH src AS (SELECT DISTINCT 'time' AS kind, name, regexp_replace(name, '^\s+|\s+$', '', 'g') AS t FROM sag2_entity WHERE entity_type = 'time' AND name IS NOT NULL), {_PARSED_SQL} SELECT name, day AS date_value FROM chosen""")
+def e12_time_values(spark, sf_dir):
+    """The date that each time entity's name says, null where it says none."""
+    e = table(spark, sf_dir, "sag2_entity").where("entity_type = 'time' and name is not null").select("name").distinct()
+    return e.select("name", values.parse_value(F.lit("time"), F.col("name"), "datetime").alias("v")).select("name", F.col("v.datetime_value").alias("date_value"))

@@ -135,14 +135,14 @@ def t2_entity_search(spark, sf_dir):
 
 
 @query("""
-WITH asked AS (SELECT id AS query_id, list_filter(string_split_regex(trim(lower(a)), '\\s+'), lambda w: w <> '') AS words FROM (SELECT id, answer[1] AS a FROM eval_samples WHERE len(answer) > 0)),
+WITH asked AS (SELECT id AS query_id, list_filter(string_split_regex(trim(lower(a)), '\\s+'), lambda w: w <> '') AS words FROM (SELECT id, array_to_string(answer, ' ') AS a FROM eval_samples WHERE len(answer) > 0)),
 body AS (SELECT idx AS id, lower(concat_ws(' ', coalesce(title, ''), coalesce(text, ''))) AS body FROM sample_corpus),
 counted AS (SELECT query_id, id, w, CAST((length(body) - length(replace(body, w, ''))) / length(w) AS BIGINT) AS n FROM (SELECT query_id, unnest(words) AS w FROM asked), body WHERE contains(body, w))
 SELECT query_id, id, CAST(sum(n) AS BIGINT) AS score FROM counted GROUP BY ALL HAVING sum(n) > 0
 """)
 def t7_substring_score(spark, sf_dir):
     """How often an answer's words occur in each record of the corpus."""
-    asked = table(spark, sf_dir, "eval_samples").where(F.size("answer") > 0).select(F.col("id").alias("query_id"), F.element_at("answer", 1).alias("text"))
+    asked = table(spark, sf_dir, "eval_samples").where(F.size("answer") > 0).select(F.col("id").alias("query_id"), F.array_join("answer", " ").alias("text"))
     return bm25.substring_score(asked, table(spark, sf_dir, "sample_corpus"), "idx", ["title", "text"])
 
 
@@ -151,12 +151,26 @@ WITH latest AS (SELECT entity_id, arg_max(name, updated_time) AS name FROM sag2_
 SELECT subject AS token, entity_id, name FROM (SELECT DISTINCT lower(subject) AS subject FROM subject_areas) JOIN latest ON contains(lower(name), subject)
 """)
 def f14_name_contains(spark, sf_dir):
-    """entities whose name holds the name of a subject."""
-    from mnemograph.session import broadcast_if_small
-
+    """entities whose name holds the name of a subject."""
     names = filters.latest(table(spark, sf_dir, "sag2_entity").select("entity_id", "name", "updated_time"), "entity_id", "updated_time").where("name is not null")
-    asked = table(spark, sf_dir, "subject_areas").select(F.lower("subject").alias("token")).where("token is not null").distinct()
-    return names.join(broadcast_if_small(asked, 10_000), F.contains(F.lower("name"), F.col("token"))).select("token", "entity_id", "name")
+    asked = table(spark, sf_dir, "subject_areas").select(F.lower("subject").alias("token"))
+    return filters.containing(names, "entity_id", "name", asked, "token").join(names.select("entity_id", "name"), "entity_id").withColumnRenamed("needle", "token")
+
+
+@query("""
+WITH said AS (SELECT id AS query_id, list_concat([lower(trim(question))], list_filter(string_split_regex(lower(trim(question)), '\\s+'), lambda w: length(w) >= 2)) AS l FROM eval_samples WHERE question IS NOT NULL),
+asked AS (SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:8] AS tokens FROM said),
+latest AS (SELECT entity_id, arg_max(name, updated_time) AS name FROM sag2_entity WHERE entity_type = 'subject' GROUP BY 1), token AS (SELECT query_id, unnest(tokens) AS t FROM asked)
+SELECT query_id, entity_id, list_sort(list(DISTINCT t)) AS tokens FROM token JOIN latest ON contains(lower(name), t) WHERE t <> '' GROUP BY ALL
+""")
+def f14_like_any_token(spark, sf_dir):
+    """subject entities whose name holds a question, or any of its words; at most eight tokens of a question."""
+    e = table(spark, sf_dir, "sag2_entity").where("entity_type = 'subject'").select("entity_id", "name", "updated_time")
+    names = filters.latest(e, "entity_id", "updated_time").where("name is not null")
+    questions = table(spark, sf_dir, "eval_samples").where("question is not null")
+    tokens = questions.select(F.col("id").alias("query_id"), F.explode(filters.name_tokens(F.col("question"))).alias("token"))
+    met = filters.containing(names, "entity_id", "name", tokens, "token").withColumnRenamed("needle", "token")
+    return tokens.join(met, "token").groupBy("query_id", "entity_id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
 
 
 @query("""
@@ -312,12 +326,44 @@ def q6_graph_sections(spark, sf_dir):
     return retrieval.hydrate(ranked, events, table(spark, sf_dir, "chunk_draft"), 10)
 
 
-@query()
+_ROUTES_SQL = f"""
+route AS (SELECT query_id, query_id AS from_node, id AS to_node, 'query' AS from_kind, 'event' AS to_kind, 'event_vector' AS method, 0 AS hop, score FROM path_a
+  UNION ALL SELECT query_id, query_id, CAST(entity_id AS VARCHAR), 'query', 'entity', 'entity_match', 0, 1.0 FROM seed
+  UNION ALL SELECT b.query_id, CAST(b.entity_id AS VARCHAR), b.event_id, 'entity', 'event', 'entity_to_event', 0, p.score FROM pair_b b JOIN path_b p ON p.query_id = b.query_id AND p.id = b.event_id
+  UNION ALL SELECT query_id, event_id, CAST(entity_id AS VARCHAR), 'event', 'entity', 'event_to_entity', 1, 1.0 FROM related
+  UNION ALL SELECT x.query_id, CAST(x.entity_id AS VARCHAR), x.event_id, 'entity', 'event', 'expand_to_event', 1, n.score FROM pair_x x JOIN new_event n ON n.query_id = x.query_id AND n.id = x.event_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, from_node, to_node, method) AS position FROM
+  (SELECT query_id, from_node, to_node, from_kind, to_kind, method, hop, max(score) AS score FROM route GROUP BY ALL)),
+behind AS (SELECT query_id, id AS node FROM final UNION SELECT p.query_id, p.from_node FROM behind b JOIN placed p ON p.query_id = b.query_id AND p.to_node = b.node)"""
+_ROUTE_ROWS_SQL = "SELECT DISTINCT p.* REPLACE (round(p.score, 6) AS score) FROM placed p JOIN behind b ON b.query_id = p.query_id AND b.node = p.to_node"
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, {TITLES_SQL}, {_GRAPH_SQL}, {_ROUTES_SQL} {_ROUTE_ROWS_SQL}""")
 def g6_routes(spark, sf_dir):
-    """The routes by which the answers were reached (tested on a small graph)."""
+    """The routes by which the answers were reached."""
     _, ranked, routes = _graph_search(spark, sf_dir)
     answers = ranked.select("query_id", F.col("id").alias("node"))
-    return graph.trace_back(answers, routes, depth=5)
+    return graph.trace_back(answers, routes, depth=5).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, {TITLES_SQL}, {_GRAPH_SQL}, {_ROUTES_SQL}, kept AS ({_ROUTE_ROWS_SQL}),
+step AS (SELECT query_id, from_node, to_node, method AS stage, max({{'s': score, 'h': -hop}}) AS b FROM kept GROUP BY ALL)
+SELECT query_id, from_node, to_node, stage, 'final' AS level, b.s AS score, -b.h AS hop FROM step""")
+def g8_clues(spark, sf_dir):
+    """Each step of the answers' routes once."""
+    return graph.clues(g6_routes(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, {TITLES_SQL}, {_GRAPH_SQL}, {_ROUTES_SQL}, kept AS ({_ROUTE_ROWS_SQL}),
+node AS (SELECT query_id, from_node AS node, from_kind AS kind FROM kept UNION SELECT query_id, to_node, to_kind FROM kept),
+name AS (SELECT CAST(entity_id AS VARCHAR) AS node, 'entity' AS kind, arg_max(name, updated_time) AS name FROM sag2_entity GROUP BY entity_id UNION ALL SELECT event_id, 'event', title FROM ev)
+SELECT query_id, node, kind, name FROM node LEFT JOIN name USING (node, kind)""")
+def g8_clue_nodes(spark, sf_dir):
+    """The nodes of the answers' routes, each once, with their names."""
+    events, _, routes = _graph_search(spark, sf_dir)
+    entities = filters.latest(table(spark, sf_dir, "sag2_entity").select("entity_id", "name", "updated_time"), "entity_id", "updated_time")
+    named = entities.select(F.col("entity_id").cast("string").alias("node"), F.lit("entity").alias("kind"), "name").unionByName(events.select(F.col("event_id").alias("node"), F.lit("event").alias("kind"), F.col("title").alias("name")))
+    return graph.clue_nodes(g6_routes(spark, sf_dir), named)
 
 
 @query(f"""WITH RECURSIVE {EVENTS_SQL},
@@ -331,9 +377,15 @@ def a28_degrees(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, link AS (SELECT 'v' || event_id AS u, 'n' || entity_id AS v FROM edge), both_ways AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT u AS root, u AS node FROM both_ways UNION SELECT r.root, b.v FROM reach r JOIN both_ways b ON b.u = r.node),
+size AS (SELECT component, count(*) AS size FROM (SELECT node, min(root) AS component FROM reach GROUP BY node) GROUP BY component), degree AS (SELECT u AS node, count(*) AS d FROM both_ways GROUP BY u)
+SELECT n_nodes, n_events, n_entities, n_edges, mean_degree, max_degree, degree_over_1, degree_over_2, degree_over_3, n_components, giant_size, mean_size, median_size, geometric_size, harmonic_size, round(2 * n_edges / (n_nodes * (n_nodes - 1)), 9) AS density FROM
+ (SELECT count(*) AS n_nodes, count(*) FILTER (node[1] = 'v') AS n_events, count(*) FILTER (node[1] = 'n') AS n_entities, CAST(sum(d) / 2 AS BIGINT) AS n_edges, round(avg(d), 6) AS mean_degree, max(d) AS max_degree,
+   count(*) FILTER (d > 1) AS degree_over_1, count(*) FILTER (d > 2) AS degree_over_2, count(*) FILTER (d > 3) AS degree_over_3 FROM degree),
+ (SELECT count(*) AS n_components, max(size) AS giant_size, round(avg(size), 6) AS mean_size, median(size) AS median_size, round(exp(avg(ln(size))), 6) AS geometric_size, round(count(*) / sum(1 / size), 6) AS harmonic_size FROM size)""")
 def a27_graph_metrics(spark, sf_dir):
-    """Components and sizes of the graph (tested against union-find)."""
+    """Components and sizes of the graph."""
     _, _, _, edges, _ = _setting(spark, sf_dir)
     named = edges.select(F.concat(F.lit("v"), "event_id").alias("src"), F.concat(F.lit("n"), F.col("entity_id").cast("string")).alias("dst"))
     return graph.bipartite_metrics(edges, connected_components(named))

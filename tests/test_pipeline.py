@@ -30,23 +30,70 @@ def test_split_text_joins(text, limit):
     assert all(chunking.tokens_of(p.strip()) <= limit for p in pieces)
 
 
+def folded(rows, limit, strict):
+    """The chunks of one document by a plain loop over its sections: (heading, content, indices)."""
+    out, now, size = [], [], 0
+
+    def end():
+        if now:
+            out.append((next((h for _, h, _ in now if h), ""), "\n".join(c for _, _, c in now).strip(), [i for i, _, _ in now]))
+            now.clear()
+
+    for i, h, c in sorted((i, h or "", (c or "").strip()) for i, h, c in rows):
+        n = chunking.tokens_of(c)
+        if n > 600:
+            end()
+            part: list[str] = []
+            for paragraph in c.split("\n\n"):
+                if part and sum(map(chunking.tokens_of, part)) + chunking.tokens_of(paragraph) > limit:
+                    out.append((h, "\n\n".join(part), [i]))
+                    part = []
+                part.append(paragraph)
+            out.append((h, "\n\n".join(part), [i]))
+            continue
+        if now and (size + n > limit or (strict and h != now[0][1])):
+            end()
+        size = n if not now else size + n
+        now.append((i, h, c))
+    end()
+    return out
+
+
 def test_assemble_chunks(spark):
     rng = random.Random(4)
-    rows = [(f"d{d}", i, f"h{i}", " ".join(["word"] * rng.randrange(1, 200))) for d in range(6) for i in range(rng.randrange(1, 12))]
+    rows = [(f"d{d}", i, f"h{i // 3}", "\n\n".join(" ".join(["word"] * rng.randrange(1, 160)) for _ in range(rng.choice([1, 1, 2, 12])))) for d in range(6) for i in range(rng.randrange(1, 12))]
     rows += [("big", 0, "h", "word. " * 3000), ("blank", 0, "h", "  "), (None, 0, "h", "x"), ("null", 0, None, None)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "a string, i int, h string, c string, doc string")
-    got = chunking.assemble_chunks(df, "a", "i", "h", "c", 300).collect()
-    assert all(r.n_tokens <= 300 for r in got) and {r.doc for r in got} == {*(f"d{d}" for d in range(6)), "big"}
-    for d in range(6):
-        mine = sorted((r for r in got if r.doc == f"d{d}"), key=lambda r: r.rank)
-        assert [r.rank for r in mine] == list(range(len(mine)))
-        assert "\n\n".join(r.content for r in mine) == "\n\n".join(c for x, _, _, c in rows if x == f"d{d}")
-        for a, b in zip(mine, mine[1:]):  # packed greedily
-            first = next(c for x, i, _, c in rows if x == f"d{d}" and i == b.first_section)
-            assert chunking.tokens_of(a.content) + chunking.tokens_of(first) + 2 > 300 - 3 * a.n_sections
+    for strict in (False, True):
+        got = {}
+        for r in sorted(chunking.assemble_chunks(df, "a", "i", "h", "c", 300, heading_strict=strict).collect(), key=lambda r: r.rank):
+            got.setdefault(r.doc, []).append((r.heading, r.content, list(r.section_order_indices)))
+        assert got == {d: folded([r[1:] for r in rows if r[0] == d], 300, strict) for d in {r[0] for r in rows} - {None}}
     assert chunking.assemble_chunks(df.limit(0), "a", "i", "h", "c").count() == 0
 
 
+def test_split_text_takes_the_first_delimiter_that_fits():
+    assert chunking.split_text("a。b? c. d\n\n \n e", 5) == ["a。", "b?", " c. ", "d\n\n \n", " e"]
+    assert chunking.split_text("\n\nab", 5) == ["\n\nab"] and chunking.split_text("", 5) == [""]
+    assert chunking.split_text("one, two; three", 2) == ["one,", " two;", " three"]
+
+
+def test_load_documents(spark):
+    text = "intro words here\n# One\n" + "First sentence stands. " * 40 + "\n## Two\nx"
+    df = spark.createDataFrame([(1, text, "clash"), (2, None, ""), (3, "", ""), (None, "x", "")], "id int, t string, doc string")
+    titles, sections, chunks = chunking.load_documents(df, "id", "t", 200, 40)
+    assert {r.article_id: r.title for r in titles.collect()} == {"1": "One", "2": "Untitled", "3": "Untitled"}
+    s = sorted(sections.collect(), key=lambda r: r.order_index)
+    assert [r.order_index for r in s] == list(range(len(s))) and {r.article_id for r in s} == {"1"}
+    assert "".join(r.content for r in s if r.heading == "One") == ("First sentence stands. " * 40).strip()
+    assert {r.render_group_index for r in s if r.heading == "One"} == {2}
+    c = chunks.collect()
+    assert sorted(x for r in c for x in r.references) == sorted(r.section_id for r in s)
+    again = chunking.load_documents(df, "id", "t", 200, 40)[2]
+    assert {r.chunk_id for r in again.collect()} == {r.chunk_id for r in c}  # ids do not depend on the run
+    assert {r.worth_extraction for r in c} <= {True, False} and not chunking.load_documents(df.limit(0), "id", "t")[2].count()
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "corpus.json").write_text(json.dumps([{"title": "T", "text": "x", "idx": 1}, {"text": "y"}]))
     assert sorted(r.doc for r in readers.read_corpus(spark, str(tmp_path / "corpus.json")).collect()) == ["\ny", "T\nx"]

@@ -8,7 +8,7 @@ from mnemograph.operators import bm25, filters, graph, ranking
 from mnemograph.operators.components import connected_components
 from mnemograph.operators.knn import exact_knn, score_pairs
 from mnemograph.plans import retrieval
-from mnemograph.plans.config import FastConfig, GraphConfig, VectorConfig
+from mnemograph.plans.config import FastConfig, GraphConfig, ScopeConfig, VectorConfig
 from pyspark.sql import functions as F
 
 
@@ -83,16 +83,72 @@ def test_active_ids_keep_their_order(spark):
     assert filters.allowed(wanted, None, "id").count() == 3 and filters.allowed(wanted, active.limit(0), "id").count() == 0
 
 
+def refilled(listed, said, top_k, most, threshold):
+    """What a plain loop makes of one query's candidates (id, score) in order and a model's scores."""
+    sound = {i: s for i, s in said.items() if s == s and abs(s) != float("inf") and i in dict(listed)}
+    if not sound:
+        return [(i, True) for i, _ in listed][:most]
+    order = [i for i, _ in listed]
+    head = sorted(sound, key=lambda i: (-sound[i], order.index(i)))[:top_k]
+    rest = sorted((x for x in listed if x[0] not in head and x[1] >= threshold), key=lambda x: (-x[1], order.index(x[0])))
+    return ([(i, False) for i in head] + [(i, True) for i, _ in rest])[:most]
+
+
+def test_rerank_fill_against_a_loop(spark):
+    rng = random.Random(12)
+    lists = {q: [(f"v{i}", rng.choice([0.15, 0.35, 0.55, 0.75])) for i in rng.sample(range(40), 9)] for q in range(8)}
+    said = {q: {f"v{i}": rng.choice([0.1, 0.6, 0.8, float("nan"), float("inf")]) for i in rng.sample(range(40), 14)} for q in range(7)}
+    c = frame(spark, [(q, i, s, n) for q, l in lists.items() for n, (i, s) in enumerate(l)], "query_id int, id string, score double, pos int")
+    m = frame(spark, [(q, i, s) for q, d in said.items() for i, s in d.items()], "query_id int, id string, score double")
+    got = {}
+    for r in ranking.rerank_fill(c, m, 2, 5, 0.3).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.is_fill))
+    assert got == {q: refilled(lists[q], said.get(q, {}), 2, 5, 0.3) for q in lists}
+
+
 SIM = [(1, "e1", 0.4, 0), (1, "e3", 0.9, 1), (1, "e2", 0.9, 2), (1, "e4", 0.7, 3)]
 
 
-def test_rerank_fill_is_stable(spark):
-    c = frame(spark, SIM, "query_id int, id string, score double, pos int")
-    m = frame(spark, [(1, "e1", 0.95), (1, "e4", 0.94), (1, "zz", 0.99), (1, "e2", float("nan"))], "query_id int, id string, score double")
-    got = [(r.id, r.is_fill) for r in ranking.rerank_fill(c, m, 1, 3, 0.5).orderBy("place").collect()]
-    assert got == [("e1", False), ("e3", True), ("e2", True)]
-    nothing = [r.id for r in ranking.rerank_fill(c, m.limit(0), 1, 3, 0.5).orderBy("place").collect()]
-    assert nothing == ["e1", "e3", "e2"]  # the list as it came
+def test_picks_by_index_and_by_line(spark):
+    c = frame(spark, [(1, "a", 0, "Alpha"), (1, "b", 1, "Beta [x]"), (1, "c", 2, "Alpha"), (2, "d", 0, None)], "query_id int, id string, pos int, text string")
+    picks = lambda *rows: frame(spark, [(q, list(p)) for q, p in rows], "query_id int, picks array<string>")
+    ids = lambda df: [(r.query_id, r.id) for r in df.orderBy("query_id", "place").collect()]
+    assert ids(ranking.picked_by_index(c, picks((1, ["2", " 0", "2", "7", "x"]), (3, ["0"])), 5)) == [(1, "c"), (1, "a")]
+    assert ids(ranking.picked_by_line(c, picks((1, ["no brackets", "[9] Beta [x]", "[ 2 ] anything", "[?] Alpha", "[8] Gamma"]), (2, ["[0]"])), 5)) == [(1, "b"), (1, "c"), (1, "a"), (2, "d")]
+    assert ids(ranking.picked_by_index(c, picks((1, ["0", "1", "2"])), 2)) == [(1, "a"), (1, "b")]
+
+
+def test_native_fill(spark):
+    s = frame(spark, [(1, "c1", 1), (1, "c2", 2)], "query_id int, chunk_id string, place int")
+    n = frame(spark, [(1, "c2", 1), (1, "c9", 2), (1, "c8", 3), (2, "c5", 1)], "query_id int, chunk_id string, place int")
+    got = [(r.query_id, r.chunk_id, r.is_fill) for r in ranking.native_fill(s, n, 3).orderBy("query_id", "place").collect()]
+    assert got == [(1, "c1", False), (1, "c2", False), (1, "c9", True), (2, "c5", True)]
+
+
+def test_scope_keeps_inside(spark):
+    queries, seeds, edges, vectors = small_graph(spark)
+    relations = graph.relations_of(edges, vectors)
+    config = ScopeConfig(event_top_k=2, query_events=1, relation_threshold=0.0)
+    got = retrieval.scoped_candidates(queries, seeds, edges, vectors, relations, config, id_type="string", query_type="string")
+    assert {r.id for r in got.collect()} == {"e1", "e2"}  # e3 shares the entity but is out of scope
+    wide = retrieval.scoped_candidates(queries, seeds, edges, vectors, relations, ScopeConfig(query_events=1, relation_threshold=0.0), id_type="string", query_type="string")
+    assert {r.id for r in wide.collect()} == {"e1", "e2", "e3"}
+    none = retrieval.scoped_candidates(queries.limit(0), seeds.limit(0), edges, vectors, relations, config, id_type="string", query_type="string")
+    assert none.count() == 0
+
+
+def test_containing_and_exact_names(spark):
+    rng = random.Random(6)
+    texts = {i: "".join(rng.choice("abAB ") for _ in range(rng.randrange(0, 40))) for i in range(40)} | {98: None, 99: "x" * 5000}
+    needles = [*("".join(rng.choice("abB ") for _ in range(rng.randrange(1, 6))) for _ in range(25)), "", None, "x" * 3000]
+    rows = frame(spark, list(texts.items()), "id int, t string")
+    asked = frame(spark, [(n,) for n in needles], "n string")
+    got = {(r.id, r.needle) for r in filters.containing(rows, "id", "t", asked, "n").collect()}
+    assert got == {(i, n) for i, t in texts.items() for n in needles if t and n and n.lower() in t.lower()}
+    names = frame(spark, [(1, "A"), (2, "A"), (3, "a"), (4, None)], "id int, name string")
+    assert {r.id for r in filters.exact_names(names, "name", frame(spark, [("A",), (None,)], "name string"), 1, [F.col("id")]).collect()} == {1}
+
+
 
 
 def test_reply_fill(spark):
