@@ -1,7 +1,9 @@
 """A mix of sources by target shares of tokens (problem 7).
 
-Every source is cut by hash into blocks of documents. A source's token quota becomes a
-count of block draws: whole passes over its permuted blocks, then a permuted part. A
+Every source is cut by hash into blocks of documents of a fixed size. A source's token
+quota becomes a count of block draws: whole passes over its blocks, then a part of a pass,
+each in an order of its own that a keyed permutation of the block numbers gives, so that
+nothing is ranked by source. A
 splitting tree hands the counts of all sources to the output shards: each node divides its
 count vector between its halves by a multivariate hypergeometric draw, which is how a
 perfectly shuffled deck would fall, so the shards' quotas are exact and disjoint. The
@@ -11,6 +13,7 @@ documents of a shard are shuffled within the shard.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemograph.llm.tokens import DEFAULT_VOCABULARY, token_counter
-from mnemograph.session import broadcast_if_small, cut
+from mnemograph.session import broadcast_if_small, cut, unpriced
 
-#: most sources that may have a target: their totals pass through the driver
+#: most sources that may have a target, beyond which a mix raises: a node of the splitting tree counts each of them
 MAX_SOURCES = 100_000
-#: most blocks of all sources together: block rows, not documents, are ranked by source
-MAX_BLOCKS = 200_000
+#: positions of a pass that are summed up together, in the first of two steps
+RANGE = 4096
 #: nodes of the splitting tree that the driver makes; tasks grow the subtrees below them
 DRIVER_NODES = 256
 
@@ -61,6 +64,37 @@ def _split(node: tuple[int, int, np.ndarray, np.ndarray], seed: int):
     return (low, middle, first, left), (middle, high, first + left, counts - left)
 
 
+def permutation(source: str, copy: int, n: int, seed: int) -> tuple[int, int]:
+    """(factor, shift) of the permutation factor * i + shift mod n of 0..n-1, by source and pass.
+
+    The factor has no divisor in common with n; products stay within 64 bits for up to
+    2^32 blocks, beyond which this raises.
+    """
+    if n >= 1 << 32:
+        raise ValueError("too many blocks of one source; take larger ones")
+    rng = np.random.default_rng([seed, copy, zlib.crc32(source.encode())])
+    factor = int(rng.integers(1, max(2, min(n, 1 << 31))))
+    while math.gcd(factor, n) > 1:
+        factor += 1
+    return factor, int(rng.integers(0, n))
+
+
+def _part_of_pass(blocks: DataFrame) -> DataFrame:
+    """The first blocks of a pass, in its order, that are needed for ``rest`` tokens, with the room each has.
+
+    Tokens before a block are summed in two steps, over ranges of positions and within
+    them, so no source is sorted in one task.
+    """
+    ranged = blocks.withColumn("range", F.floor(F.col("at") / RANGE))
+    sums = ranged.groupBy("source", "range").agg(F.sum("tokens").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each RANGE blocks
+    starts = sums.select("source", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
+    placed = ranged.join(unpriced(starts), ["source", "range"]).withColumn("before", before)
+    return placed.where(F.col("before") < F.col("rest")).select("source", "block", "tokens", "copy", "n_blocks", (F.col("rest") - F.col("before")).alias("room"), "at")
+
+
 def shard_intervals(spark, sources: list[str], draws: list[int], shards: int, seed: int) -> DataFrame:
     """(source, shard, first, n): which of a source's positions 0..draws-1 each shard takes."""
     nodes = [(0, shards, np.zeros(len(sources), np.int64), np.array(draws, np.int64))]
@@ -122,39 +156,33 @@ def mix(
     total = sum(available.values()) if total_tokens is None else total_tokens
     quota = quotas(available, shares, repeats, total)
 
-    block_tokens = max(block_tokens, sum(available.values()) // MAX_BLOCKS)
     plan = [(s, max(1, math.ceil(available[s] / block_tokens)), float(q), q // available[s] if q else 0.0) for s, q in quota.items() if q > 0]
-    plan_rows = [(s, n, int(full), q - full * available[s]) for s, n, q, full in plan]
-    planned = spark.createDataFrame(plan_rows, "source string, n_blocks bigint, full int, rest double")
-    planned = F.broadcast(planned)  # at most MAX_SOURCES rows
-    placed = sized.join(planned.select("source", "n_blocks"), "source").withColumn("block", F.pmod("h", "n_blocks"))
+    blocks_of = {s: n for s, n, _, _ in plan}
+    rows = [(s, k, n, *permutation(s, k, n, seed), None if k < full else q - full * available[s]) for s, n, q, full in plan for k in range(int(full) + 1)]
+    passes_of = spark.createDataFrame(rows, "source string, copy int, n_blocks bigint, factor bigint, shift bigint, rest double")
+    numbered = broadcast_if_small(passes_of.where("copy = 0").select("source", "n_blocks"), MAX_SOURCES)
+    placed = sized.join(numbered, "source").withColumn("block", F.pmod("h", "n_blocks"))
     blocks = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
 
     # every pass over a source takes its blocks in an order of its own; the last pass is a part
-    passes = blocks.join(planned, "source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("full"))))
-    order = Window.partitionBy("source", "copy").orderBy(F.xxhash64("block", "copy", F.lit(seed)), "block")
-    before = F.sum("tokens").over(order) - F.col("tokens")
-    passes = passes.withColumns({"rank": F.row_number().over(order) - 1, "before": before})
-    drawn = passes.where((F.col("copy") < F.col("full")) | (F.col("before") < F.col("rest")))
-    drawn = drawn.withColumn("room", F.when(F.col("copy") == F.col("full"), F.col("rest") - F.col("before")))
-    n_filled = Window.partitionBy("source", "copy")
-    drawn = drawn.withColumn("filled", F.count(F.lit(1)).over(n_filled))
-    per_pass = drawn.groupBy("source", "copy").agg(F.max("filled").alias("filled"))
-    offset = Window.partitionBy("source").orderBy("copy")
-    per_pass = per_pass.withColumn("offset", F.sum("filled").over(offset) - F.col("filled")).drop("filled")
-    drawn = cut(drawn.drop("filled").join(per_pass, ["source", "copy"]).select("source", "block", "copy", "room", "tokens", (F.col("offset") + F.col("rank")).alias("at")))
-
-    counts = {r.source: r.n for r in drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = F.pmod(F.col("factor") * F.col("block") + F.col("shift"), F.col("n_blocks"))
+    passes = blocks.join(broadcast_if_small(passes_of, MAX_SOURCES), "source").select("source", "block", "tokens", "copy", "n_blocks", "rest", at.alias("at"))
+    drawn = cut(passes.where("rest is null").select("source", "block", "tokens", "copy", "n_blocks", F.lit(None).cast("double").alias("room"), "at").unionByName(_part_of_pass(passes.where("rest is not null"))))
+    drawn = drawn.withColumn("at", F.col("copy") * F.col("n_blocks") + F.col("at")).drop("n_blocks")
+
+    # a pass without documents at its last positions counts them nevertheless
+    last = {r.source: r.n for r in drawn.groupBy("source").agg((F.max("at") + 1).alias("n")).collect()}
+    counts = {s: max(n, blocks_of[s] * int(full)) for (s, _, _, full) in plan if (n := last.get(s))}
     order_of = sorted(counts)
     shards = max(1, math.ceil(sum(quota.values()) / shard_tokens))
     intervals = shard_intervals(spark, order_of, [counts[s] for s in order_of], shards, seed)
     positions = intervals.select("source", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at"))
-    draws = drawn.join(positions, ["source", "at"]).select("source", "block", "copy", "room", "tokens", "shard")
+    draws = drawn.join(unpriced(positions), ["source", "at"]).select("source", "block", "copy", "room", "tokens", "shard")
 
     # blocks hold a bounded share of a source, so the documents' order in a block is small work
     inner = Window.partitionBy("source", "block").orderBy("h", "doc_id")
     ranked = placed.withColumn("before", F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
-    taken = ranked.join(draws, ["source", "block"])
+    taken = ranked.join(unpriced(draws), ["source", "block"])
     nearest = F.col("before") + F.col("n_tokens") / 2 <= F.col("room")
     taken = taken.where(F.col("room").isNull() | (F.col("room") >= F.col("tokens")) | nearest)
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "copy", "shard", F.lit(seed)), "doc_id", "copy")
@@ -179,4 +207,4 @@ def mix(
 
 def mixed_texts(mixed: DataFrame, documents: DataFrame) -> DataFrame:
     """The mix with the documents' texts, for writing it out by shard."""
-    return mixed.join(documents.select("doc_id", "text"), "doc_id")
+    return mixed.join(unpriced(documents.select("doc_id", "text")), "doc_id")

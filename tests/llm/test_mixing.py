@@ -68,3 +68,37 @@ def test_empty(spark):
     some = spark.createDataFrame([("a", 1.0, 2, 0)], TARGETS)
     mixed, report = mix(d, some)
     assert mixed.count() == 0 and [r.reached_share for r in report.collect()] == [0.0]
+
+
+def test_permutations_reach_every_block():
+    from mnemograph.llm.mixing import permutation
+
+    orders = set()
+    for n in (1, 2, 6, 64, 97, 5000):
+        for copy in range(3):
+            factor, shift = permutation("a", copy, n, 17)
+            order = tuple((factor * i + shift) % n for i in range(n))
+            assert sorted(order) == list(range(n))
+            orders.add(order)
+    assert len(orders) >= 13  # passes differ
+
+
+def test_many_small_blocks(spark):
+    """More blocks than one range of positions: the part of a pass still ends at the quota."""
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "concat('alpha beta ', id) AS text", "'a' AS source", "0 AS shard", "0 AS copy", "0 AS n_tokens")
+    targets = spark.createDataFrame([("a", 1.0, 3, 0)], TARGETS)
+    mixed, report = mix(docs, targets, total_tokens=60_000, shard_tokens=9000, block_tokens=6)
+    said = report.first()
+    assert said.mixed_tokens <= said.available_tokens * 3 and abs(said.mixed_tokens - min(60_000, 3 * said.available_tokens)) <= 10
+    per_shard = mixed.groupBy("shard").sum("n_tokens").collect()
+    assert len(per_shard) == -(-min(60_000, 3 * said.available_tokens) // 9000) and all(abs(r[1] - 60_000 / len(per_shard)) < 1500 for r in per_shard)
+    assert mixed.groupBy("doc_id", "copy").count().where("count > 1").count() == 0
+
+
+def test_texts_come_with_the_mix(spark):
+    from mnemograph.llm.mixing import mixed_texts
+
+    docs = spark.createDataFrame([(i, f"word {i}", "a", 0, 0, 0) for i in range(50)], DOCS)
+    mixed, _ = mix(docs, spark.createDataFrame([("a", 1.0, 2, 0)], TARGETS), block_tokens=20)
+    rows = mixed_texts(mixed, docs).collect()
+    assert len(rows) == 50 and all(r.text == f"word {r.doc_id}" for r in rows)
