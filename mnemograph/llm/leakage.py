@@ -12,6 +12,7 @@ Only words of the passages can match, so a shard's index holds the stretches of
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemograph.session import cut
+
 from mnemograph.llm.fm_index import FMIndex
 
 WORD = re.compile(r"[^\W_]+")
@@ -32,15 +35,23 @@ class Phrases:
     def __init__(self, passages: list[tuple[int, str]], width: int):
         self.width = width
         self.ids: dict[str, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
-        for sample, text in passages:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in WORD.findall(text.lower())]
-            for i in range(len(words) - width + 1):
-                windows.setdefault(tuple(words[i : i + width]), set()).add(sample)
-        self.windows = np.array(list(windows), np.int64).reshape(-1, width)
-        sizes = np.array([len(s) for s in windows.values()], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.samples = np.array([x for s in windows.values() for x in sorted(s)], np.int64)
+        codes, sizes = array("q"), []
+        for _, text in passages:
+            before = len(codes)
+            codes.extend(self.ids.setdefault(w, len(self.ids) + 1) for w in WORD.findall(text.lower()))
+            sizes.append(len(codes) - before)
+        flat = np.array(codes, np.int64)
+        ends = np.cumsum(sizes, dtype=np.int64) if sizes else np.empty(0, np.int64)
+        starts = np.arange(len(flat))
+        passage = np.repeat(np.arange(len(sizes)), sizes)
+        whole = starts + width <= ends[passage] if len(flat) else np.empty(0, bool)
+        starts, passage = starts[whole], passage[whole]
+        every = np.lib.stride_tricks.sliding_window_view(flat, width)[starts] if len(starts) else np.empty((0, width), np.int64)
+        self.windows, which = np.unique(every, axis=0, return_inverse=True)
+        owner = np.array([s for s, _ in passages], np.int64)[passage] if len(passages) else np.empty(0, np.int64)
+        pairs = np.unique(np.stack([which.reshape(-1), owner], axis=1), axis=0)
+        self.samples = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
 
 
 def _merged(doc: np.ndarray, sample: np.ndarray, start: np.ndarray, width: int) -> pd.DataFrame:
@@ -94,7 +105,7 @@ def passages(samples: DataFrame) -> DataFrame:
     return question.unionByName(paragraphs).where("sample_id is not null and text is not null").distinct()
 
 
-def leaked_spans(documents: DataFrame, samples: DataFrame, min_words: int = 12, shard_words: int = 1_000_000, max_eval_chars: int = 64_000_000) -> DataFrame:
+def leaked_spans(documents: DataFrame, samples: DataFrame, min_words: int = 12, shard_words: int = 1_000_000, max_eval_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, sample_id, start_word, n_words): maximal shared stretches of words.
 
     A word is a run of letters or digits of the lower-cased text; ``start_word`` counts a
@@ -103,8 +114,9 @@ def leaked_spans(documents: DataFrame, samples: DataFrame, min_words: int = 12,
     tables give an empty result. Other columns are ignored.
 
     Evaluation text is sent to every task in parts of at most ``max_eval_chars``
-    characters, so what is broadcast is bounded; a larger evaluation set takes one pass
-    over the corpus for each part.
+    characters, so what the driver and the tasks hold is bounded; a larger evaluation set
+    takes one pass over the corpus for each part, one after another, whose spans are
+    written down before the next begins.
     """
     spark = documents.sparkSession
     phrases = passages(samples)
@@ -137,6 +149,9 @@ def leaked_spans(documents: DataFrame, samples: DataFrame, min_words: int = 12,
                 yield searched(ids, texts)
 
         spans = docs.mapInPandas(scan, SPANS)
+        if parts > 1:
+            spans = cut(spans)
+            shared.destroy()
         out = spans if out is None else out.unionByName(spans)
     return out
 
