@@ -6,8 +6,11 @@ shard, which bounds the distance to its k-th neighbour, and then those shards th
 triangle inequality, with this distance multiplied by ``factor``, does not exclude; within
 a shard a vantage-point tree is pruned by the same rule. Factor 1 is exact search.
 
-Large shards are cut into blocks and the queries of a shard into parts, so that no task
-holds more than ``block_rows`` of either.
+A shard of more than ``block_rows`` classes is cut into cells by pivots of its own, which
+are chosen among its classes and kept as a table, and a query visits the cells of a shard
+by the same rule; so a search stays as large as a cell whatever the number of vectors.
+Cells that are still large are sliced by hash and the queries of a cell cut into parts, so
+that no task holds more than about ``block_rows`` of either.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemograph.llm.vp_tree import VPTree, distances
-from mnemograph.session import cut
+from mnemograph.session import cut, unpriced
 
+#: pivots of the first level, which every task holds, and vectors for each that they are fitted on
 MAX_PIVOTS = 1024
 SAMPLE_PER_PIVOT = 24
+#: numbers of cells in a shard fit below this
+CELLS = 1 << 24
 _FOUND = "class_id string, other_id string, dot double"
 
 
@@ -38,9 +44,9 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True) if len(v) else v.reshape(0, 1)
 
 
-def _pivots(classes: DataFrame, n: int, shard_rows: int) -> np.ndarray:
-    """Centres of a spherical k-means on a sample of at most MAX_PIVOTS * SAMPLE_PER_PIVOT rows."""
-    count = int(min(MAX_PIVOTS, max(1, n // shard_rows)))
+def _pivots(classes: DataFrame, n: int, shard_rows: int, most: int) -> np.ndarray:
+    """Centres of a spherical k-means on a sample of at most ``most`` * SAMPLE_PER_PIVOT rows."""
+    count = int(min(most, max(1, n // shard_rows)))
     sample = classes.select("vec").orderBy(F.xxhash64("class_id"), "class_id").limit(count * SAMPLE_PER_PIVOT).toPandas()
     points = _unit(sample.vec)
     centres = points[:count].copy()
@@ -63,13 +69,22 @@ def _search(index: pd.DataFrame, queries: pd.DataFrame, k: int, factor: float) -
     return pd.DataFrame({"class_id": queries.class_id.to_numpy()[q], "other_id": index.class_id.to_numpy()[best[q, slot]], "dot": dots[q, slot]})
 
 
-def nearest_classes(classes: DataFrame, k: int, factor: float, min_dot: float = -1.0, shard_rows: int = 2000, block_rows: int = 4000) -> DataFrame:
+def _pivots_of_shards(placed: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
+    """(shard, block, pivot): of each large shard one class in ``block_rows``, by hash, numbered from 0."""
+    wanted = sizes.where(F.col("n") > block_rows).withColumn("pivots", F.ceil(F.col("n") / block_rows))
+    few = placed.join(F.broadcast(wanted), "shard")  # at most MAX_PIVOTS rows
+    drawn = few.where(F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("n")) < 2 * F.col("pivots") + 8)
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("class_id", F.lit(11)), "class_id")
+    return drawn.withColumn("block", F.row_number().over(order) - 1).where(F.col("block") < F.col("pivots")).select("shard", "block", F.col("vec").alias("pivot"))
+
+
+def nearest_classes(classes: DataFrame, k: int, factor: float, min_dot: float = -1.0, shard_rows: int = 2000, block_rows: int = 4000, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(class_id, other_id, dot): up to k nearest other classes with a dot product of ``min_dot`` or more."""
     spark = classes.sparkSession
     n = classes.count()
     if n < 2:
         return spark.createDataFrame([], _FOUND)
-    shared = spark.sparkContext.broadcast(_pivots(classes, n, shard_rows))  # at most MAX_PIVOTS rows
+    shared = spark.sparkContext.broadcast(_pivots(classes, n, shard_rows, max_pivots))
     farthest = float(distances(np.array(min_dot)))
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,59 +92,103 @@ def nearest_classes(classes: DataFrame, k: int, factor: float, min_dot: float =
             nearest = np.argmax(_unit(batch.vec) @ shared.value.T, axis=1) if len(batch) else []
             yield batch.assign(shard=np.array(nearest, np.int32))
 
-    placed = cut(classes.mapInPandas(home, "class_id string, vec array<float>, shard int"))
-    sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    parts = sizes.select("shard", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
-    parts = F.broadcast(parts)  # at most MAX_PIVOTS rows
+    routed = cut(classes.mapInPandas(home, "class_id string, vec array<float>, shard int"))
+    sizes = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    pivots = cut(_pivots_of_shards(routed, sizes, block_rows))
+    cells_of = cut(pivots.groupBy("shard").agg(F.count(F.lit(1)).alias("n_cells")))  # a row for each large shard
+    has_large = not cells_of.isEmpty()
+
+    def to_cells(rows: DataFrame, schema: str, go) -> DataFrame:
+        """``rows`` (with shard and vec) with the ``cell`` of each, or all cells of its shard that ``go`` says.
+
+        ``go(rows, distances to the shard's pivots)`` is a mask of rows x pivots.
+        """
+        names = [c.split()[0] for c in schema.split(", ")]
+        whole = rows.join(F.broadcast(cells_of), "shard", "left_anti") if has_large else rows
+        out = whole.withColumn("cell", F.col("shard").cast("bigint") * CELLS).select(*names)
+        if not has_large:
+            return out
+        large = rows.join(F.broadcast(cells_of.select("shard")), "shard")
+        chunks = F.broadcast(large.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks")))  # at most MAX_PIVOTS rows
+        chunked = large.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("class_id"), F.col("chunks").cast("bigint")).cast("int")).drop("chunks")
+        spread = pivots.join(chunks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "pivot")
+
+        spread = spread.toDF(*spread.columns)  # new column ids: both sides come from the same table
+
+        def choose(mine: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(mine):
+                return pd.DataFrame({c: [] for c in names})
+            d = distances(_unit(mine.vec) @ _unit(own["pivot"]).T)
+            row, column = np.nonzero(go(mine, d))
+            found = mine.iloc[row].reset_index(drop=True)
+            return found.assign(cell=found.shard.to_numpy(np.int64) * CELLS + own.block.to_numpy(np.int64)[column])[names]
+
+        return out.unionByName(chunked.groupBy("shard", "chunk").cogroup(spread.groupBy("shard", "chunk")).applyInPandas(choose, schema))
+
+    def nearest_only(_: pd.DataFrame, d: np.ndarray) -> np.ndarray:
+        mask = np.zeros(d.shape, bool)
+        mask[np.arange(len(d)), d.argmin(axis=1)] = True
+        return mask
+
+    placed = to_cells(routed, "class_id string, vec array<float>, shard int, cell bigint", nearest_only)
+    placed = cut(placed) if has_large else placed
+    slices = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).cast("int").alias("parts"))
+    slices = cut(slices)
     salt = F.pmod(F.xxhash64("class_id"), F.col("parts").cast("bigint")).cast("int")
 
     def matched(queries: DataFrame, query_parts: DataFrame) -> DataFrame:
-        """Every query (class_id, vec, reach, shard) against all blocks of its shard.
+        """Every query (class_id, vec, reach, cell) against all slices of its cell.
 
-        ``query_parts`` says into how many parts the queries of a shard are cut; each part
-        meets each block in a task of its own.
+        ``query_parts`` says into how many parts the queries of a cell are cut; each part
+        meets each slice in a task of its own.
         """
-        both = F.broadcast(parts.join(query_parts, "shard"))
-        q = queries.join(both, "shard").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("query_parts").cast("bigint")).cast("int"))
-        q = q.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "part", "class_id", "vec", "reach")
+        both = slices.join(query_parts, "cell")
+        q = queries.join(both, "cell").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("query_parts").cast("bigint")).cast("int"))
+        q = q.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), "part", "class_id", "vec", "reach")
         q = q.toDF(*q.columns)  # both sides come from the same table: new column ids for one
-        i = placed.join(both, "shard").withColumn("block", salt)
-        i = i.select("shard", "block", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("part"), "class_id", "vec")
-        keys = ["shard", "block", "part"]
+        i = placed.join(both, "cell").withColumn("slice", salt)
+        i = i.select("cell", "slice", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("part"), "class_id", "vec")
+        keys = ["cell", "slice", "part"]
         return i.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(lambda a, b: _search(a, b, k, factor), _FOUND)
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("class_id").orderBy(F.desc("dot"), "other_id")
         return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
-    at_home = parts.select("shard", F.col("parts").alias("query_parts"))
+    at_home = slices.select("cell", F.col("parts").alias("query_parts"))
     first = cut(best(matched(placed.withColumn("reach", F.lit(farthest)), at_home)))
     kth = first.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("dot").alias("least")).where(F.col("n") >= k)
     to_kth = F.least(F.lit(farthest), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))))
     reach = F.when(F.col("least").isNull(), F.lit(farthest)).otherwise(to_kth)  # fewer than k so far: the whole radius
-    bounded = placed.join(kth, "class_id", "left").select("class_id", "vec", "shard", reach.alias("reach"))
+    bounded = placed.join(unpriced(kth), "class_id", "left").select("class_id", "vec", F.col("shard").alias("home"), F.col("cell").alias("home_cell"), reach.alias("reach"))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The other shards of each query: x of a shard lies nearer to its pivot than to the
-        query's, so it is farther than half the difference of the query's distances to both."""
+        """The shards of each query: x of a shard lies nearer to its pivot than to the
+        query's, so it is farther than half the difference of the query's distances to both.
+        The home shard is visited again only for its other cells."""
         for batch in batches:
             if not len(batch):
                 continue
             d = distances(_unit(batch.vec) @ shared.value.T)
-            mine = batch.shard.to_numpy()
+            mine = batch.home.to_numpy()
             beyond = d - d[np.arange(len(d)), mine][:, None]
             go = beyond <= 2 * factor * batch.reach.to_numpy()[:, None] + 1e-9
-            go[np.arange(len(d)), mine] = False
+            go[np.arange(len(d)), mine] = has_large
             q, shard = np.nonzero(go)
-            yield pd.DataFrame({"class_id": batch.class_id.to_numpy()[q], "vec": batch.vec.to_numpy()[q], "reach": batch.reach.to_numpy()[q], "shard": shard.astype(np.int32)})
+            yield batch.iloc[q].assign(shard=shard.astype(np.int32))[["class_id", "vec", "reach", "home_cell", "shard"]]
+
+    def near_cells(rows: pd.DataFrame, d: np.ndarray) -> np.ndarray:
+        return d - d.min(axis=1, keepdims=True) <= 2 * factor * rows.reach.to_numpy()[:, None] + 1e-9
 
-    away = cut(bounded.mapInPandas(visit, "class_id string, vec array<float>, reach double, shard int"))
-    away_parts = away.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("query_parts"))
+    visits = bounded.mapInPandas(visit, "class_id string, vec array<float>, reach double, home_cell bigint, shard int")
+    away = to_cells(cut(visits) if has_large else visits, "class_id string, vec array<float>, reach double, home_cell bigint, cell bigint", near_cells)
+    away = cut(away.where("cell <> home_cell").drop("home_cell"))
+    away_parts = away.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("query_parts"))
     return best(first.unionByName(matched(away, away_parts)))
 
 
 def similar_events(
-    events: DataFrame, field: str, k: int = 5, min_score: float = 0.0, factor: float = 0.35, dimensions: int = 128, shard_rows: int = 2000, block_rows: int = 4000
+    events: DataFrame, field: str, k: int = 5, min_score: float = 0.0, factor: float = 0.35, dimensions: int = 128, shard_rows: int = 2000, block_rows: int = 4000, max_pivots: int = MAX_PIVOTS
 ) -> DataFrame:
     """(vector_field, event_id, place, other_id, score): the k most similar usable events.
 
@@ -141,18 +200,20 @@ def similar_events(
     """
     latest = events.where("event_id is not null").groupBy("event_id").agg(F.max_by(F.struct(F.col(field).alias("vec"), F.coalesce("is_delete", F.lit(False)).alias("gone")), F.coalesce("created_time", F.lit("1000-01-01").cast("timestamp_ntz"))).alias("e"))
     kept = latest.where(~F.col("e.gone") & usable(F.col("e.vec"), dimensions)).select("event_id", F.col("e.vec").cast("array<float>").alias("vec"))
-    inside = Window.partitionBy("vec").orderBy("event_id")
-    ranked = kept.withColumn("place", F.row_number().over(inside)).withColumn("class_id", F.first("event_id").over(inside))
-    members = cut(ranked.select("event_id", "class_id", "place", F.when(F.col("place") == 1, F.col("vec")).alias("vec")))
-    classes = members.where("place = 1").select("class_id", "vec")
-    near = nearest_classes(classes, k, factor, 2 * min_score - 1, shard_rows, block_rows)
-    # of a class only the first k + 1 events can be among k neighbours
-    first = members.where(F.col("place") <= k + 1).select("class_id", F.col("event_id").alias("other_id"))
-    others = near.select("class_id", F.col("other_id").alias("other_class"), F.col("dot")).join(first.withColumnRenamed("class_id", "other_class"), "other_class").select("class_id", "other_id", "dot")
-    equal = first.join(members.groupBy("class_id").count().where("count > 1"), "class_id", "left_semi").select("class_id", "other_id", F.lit(1.0).alias("dot"))
+    # equal vectors meet by 128 bits of hash; of a class only the first k + 1 events are ever ranked
+    hashed = cut(kept.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}))
+    keys = ["h1", "h2"]
+    named = hashed.groupBy(*keys).agg(F.min("event_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    members = cut(hashed.select("event_id", *keys).join(unpriced(named), keys).select("event_id", "class_id", "copies"))
+    classes = hashed.join(unpriced(members.where("event_id = class_id").select("event_id")), "event_id", "left_semi").select(F.col("event_id").alias("class_id"), "vec")
+    near = nearest_classes(classes, k, factor, 2 * min_score - 1, shard_rows, block_rows, max_pivots)
+    inside = Window.partitionBy("class_id").orderBy("event_id")
+    first = members.withColumn("place", F.row_number().over(inside)).where(F.col("place") <= k + 1).select("class_id", F.col("event_id").alias("other_id"), "copies")
+    others = near.select("class_id", F.col("other_id").alias("other_class"), F.col("dot")).join(unpriced(first.withColumnRenamed("class_id", "other_class")), "other_class").select("class_id", "other_id", "dot")
+    equal = first.where("copies > 1").select("class_id", "other_id", F.lit(1.0).alias("dot"))
     by_class = Window.partitionBy("class_id").orderBy(F.desc("dot"), "other_id")
     candidates = others.unionByName(equal).withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1).drop("place")
-    joined = members.select("event_id", "class_id").join(candidates, "class_id").where(F.col("event_id") != F.col("other_id"))
+    joined = members.select("event_id", "class_id").join(unpriced(candidates), "class_id").where(F.col("event_id") != F.col("other_id"))
     by_event = Window.partitionBy("event_id").orderBy(F.desc("dot"), "other_id")
     out = joined.withColumn("place", F.row_number().over(by_event)).where(F.col("place") <= k)
     score = (1 + F.col("dot")) / 2

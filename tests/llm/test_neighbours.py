@@ -61,6 +61,28 @@ def test_exact_at_factor_one(spark, rows):
     assert {(r.event_id, r.place, r.other_id) for r in got} == want
 
 
+@pytest.mark.parametrize("factor", [1.0, 0.5])
+def test_shards_with_pivots_of_their_own(spark, rows, factor):
+    """Three pivots of the first level: every shard is cut into cells of about 25 classes."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.event_id, r.place, r.other_id) for r in similar_events(df, "v", k=4, factor=factor, dimensions=12, shard_rows=30, block_rows=25, max_pivots=3).collect()}
+    want = brute(rows, 4)
+    assert got == want if factor == 1 else len(got & want) / len(want) >= 0.9
+
+
+def test_recall_of_the_shipped_factor(spark):
+    """Against brute force at 128 dimensions, the default factor and the default sizes of shards."""
+    rng = np.random.default_rng(9)
+    x = clustered(rng, 9000, 128).astype(np.float32)
+    df = spark.createDataFrame([(f"e{i:05}", v.tolist(), False, DAY, "", 1) for i, v in enumerate(x)], SCHEMA)
+    got = {(int(r.event_id[1:]), int(r.other_id[1:])) for r in similar_events(df, "v", k=5).collect()}
+    s = unit(x.astype(float)) @ unit(x.astype(float)).T
+    np.fill_diagonal(s, -1)
+    near = np.argpartition(-s, 5, axis=1)[:, :5]
+    want = {(i, int(j)) for i in range(len(x)) for j in near[i]}
+    assert len(got & want) / len(want) >= 0.9
+
+
 def test_relaxed_recall_and_pairs(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute(rows, 4)
