@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from mnemograph.operators.components import connected_components
-from mnemograph.session import cut
+from mnemograph.session import cut, unpriced
 
 # fixed values: words around names
 TITLES = "dr doctor prof professor rev reverend hon mr mrs ms miss sir dame lord lady mayor judge capt captain col".split()
@@ -52,11 +52,15 @@ for _name, _short in NICKNAMES.items():
         _FULL.setdefault(_nick, []).append(_name)
 
 # probabilities of the channel
-P_NEW, P_NICKNAME, P_INITIAL, P_NO_GIVEN, P_NO_MIDDLE, P_ABBREVIATION, P_TYPO = 0.3, 0.1, 0.15, 0.03, 0.3, 0.15, 0.04
+P_NEW, P_NICKNAME, P_INITIAL, P_NO_GIVEN, P_NO_MIDDLE, P_ABBREVIATION, P_TYPO = 0.2, 0.1, 0.15, 0.03, 0.3, 0.15, 0.04
 EDITS_OF_GIVEN, EDITS_OF_CORE = 100.0, 300.0
 MIN_TYPO_LENGTH = 5
 #: a spelling of a given name that occurs up to this share of a near one is taken for its typo
 RARE_TYPO = 0.03
+#: chance that a written form that need not be one is a name of its own: an initial, a rare
+#: spelling of a near given name, the same given name once more, the words of an organisation
+#: with this own name in short
+P_OWN = 1e-9
 TOKENS = "struct<before:array<string>,after:array<string>>"
 PARSED = "array<struct<core:string,given:string,middle:string,bag:string,own:boolean,extra:boolean>>"
 
@@ -240,12 +244,15 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), cuts))
 
 
-def _neighbours(cores: DataFrame) -> DataFrame:
-    """(kind, core, near): names one edit, or one moved letter, apart; and each with itself."""
-    long = cores.where(F.length("core") >= MIN_TYPO_LENGTH)
+def _neighbours(cores: DataFrame, least: int) -> DataFrame:
+    """(kind, core, near): names one edit, or one moved letter, apart; and each with itself.
+
+    Names of fewer than ``least`` letters are near to themselves only.
+    """
+    long = cores.where(F.length("core") >= least)
     keyed = long.select("kind", "core", F.explode(_deletions(F.col("core"))).alias("key"))
     other = keyed.select("kind", F.col("core").alias("near"), "key")
-    pairs = keyed.join(other, ["kind", "key"]).where(F.col("core") != F.col("near")).select("kind", "core", "near").distinct()
+    pairs = unpriced(keyed).join(other, ["kind", "key"]).where(F.col("core") != F.col("near")).select("kind", "core", "near").distinct()
     distance = F.levenshtein("core", "near", 2)
     moved = (distance == 2) & (F.array_sort(F.split("core", "")) == F.array_sort(F.split("near", "")))
     return pairs.where((distance == 1) | moved).unionByName(cores.select("kind", "core", F.col("core").alias("near")))
@@ -317,14 +324,16 @@ def spelled_forms(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spelled.select("entity_id", "spelling"), cut(parsed.withColumn("form", form))
 
 
-def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"), min_posterior: float = 0.6) -> DataFrame:
+def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organization"), min_posterior: float = 0.6, min_typo_length: int = MIN_TYPO_LENGTH) -> DataFrame:
     """(entity_id, entity_type, spelling, group_id): entities whose names mean the same share a group.
 
     An entity counts with its latest delivery (by ``updated_time``); null ids, types other
     than ``kinds``, and names that are null or without letters are left out. The group is
-    named by a spelling. A form that fits several canonical forms is attached only where
-    one has at least ``min_posterior`` of their posterior, else it stays for itself. An
-    empty table gives an empty result.
+    named by a spelling. A form is attached to the canonical form of greatest posterior,
+    against its rivals and against being a name of its own, where that is at least
+    ``min_posterior``; else it stays for itself. Family and own names of fewer than
+    ``min_typo_length`` letters are not compared for typos. An empty table gives an empty
+    result.
     """
     latest = entities.where("entity_id is not null").groupBy("entity_id").agg(
         F.max_by(F.struct("name", F.col("entity_type").alias("kind")), F.coalesce("updated_time", F.lit("1000-01-01").cast("timestamp_ntz"))).alias("e")
@@ -338,10 +347,10 @@ def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organ
     by_core = counted.groupBy("kind", "core").agg(F.sum("n").alias("core_n"))
     by_given = counted.groupBy("kind", "given").agg(F.sum("n").alias("given_n"))
     cores = by_core.select("kind", "core")
-    near = _neighbours(cores)
+    near = _neighbours(cores, min_typo_length)
     log_word = _log_word(_letter_model(cores))
     enriched = counted.join(by_core, ["kind", "core"]).join(by_given, ["kind", "given"]).join(F.broadcast(totals.limit(len(kinds))), "kind")
-    forms = cut(enriched.withColumn("log_core", log_word("core")))
+    forms = cut(enriched.withColumns({"log_core": log_word("core"), "id": F.monotonically_increasing_id()}))
 
     # keys by which a form and its canonical candidates meet, beside the near core
     person = F.col("kind") == "person"
@@ -357,33 +366,39 @@ def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organ
     canonical_keys = F.when(person, F.when(full, F.concat(spelled_given, first_letters, more_letters, F.array(F.lit("*")))).when(F.length("given") == 1, F.array(F.concat(F.lit("="), "given"))).otherwise(F.array(F.lit("*")))).otherwise(F.array(F.concat(F.lit("#"), initials)))
     form_keys = F.when(person, F.when(full, spelled_given).when(F.length("given") == 1, F.array(F.concat(F.lit("="), "given"))).otherwise(F.array(F.lit("*")))).otherwise(F.array(F.concat(F.lit("#"), initials)))
 
-    g = forms.select("kind", F.col("core").alias("near"), F.explode(F.array_distinct(canonical_keys)).alias("key"), *(F.col(c).alias(f"g_{c}") for c in ("form", "given", "middle", "bag", "n", "core_n", "given_n")))
-    f = forms.join(near, ["kind", "core"]).withColumn("key", F.explode(F.array_distinct(form_keys)))
-    met = f.join(g, ["kind", "near", "key"]).where(F.col("form") != F.col("g_form")).drop("key").dropDuplicates(["form", "g_form"])
+    # only hashes of keys and numbers of forms are shuffled and joined; what met is fetched after
+    key_hash = lambda core: F.xxhash64("kind", core, "key")
+    g = forms.select("id", "kind", "core", F.explode(F.array_distinct(canonical_keys)).alias("key")).select(F.col("id").alias("g_id"), key_hash("core").alias("key"))
+    keyed = forms.select("id", "kind", "core", F.explode(F.array_distinct(form_keys)).alias("key"))
+    f = keyed.join(unpriced(near), ["kind", "core"]).select("id", key_hash("near").alias("key"))
+    ids = f.join(unpriced(g), "key").where(F.col("id") != F.col("g_id")).select("id", "g_id").distinct()
+    canonical = forms.select(F.col("id").alias("g_id"), F.col("core").alias("near"), *(F.col(c).alias(f"g_{c}") for c in ("form", "given", "middle", "bag", "n", "core_n", "given_n")))
+    met = ids.join(unpriced(forms), "id").join(unpriced(canonical), "g_id").drop("id", "g_id")
     likely = met.withColumn("channel", _likelihood("kind", "given", "g_given", "middle", "g_middle", "bag", "g_bag")).where("channel is not null")
 
-    # the same own name: how the form came about, or another bearer of the name
+    # a form is a spelling of a canonical form, or a new bearer of its own name, or a new name
     same_core = F.col("core") == F.col("near")
-    spelled_otherwise = F.when(person & (F.col("given") == F.col("g_given")) | (~person & (F.col("bag") == F.col("g_bag"))), F.lit(True)).otherwise(F.lit(False))
+    same_words = F.when(person, F.col("given") == F.col("g_given")).otherwise(F.lit(True))
+    rare = F.col("given_n") <= F.greatest(F.lit(2), F.lit(RARE_TYPO) * F.col("g_given_n"))  # hardly a name of its own
+    own = F.when(same_words | (F.length("given") < 2) | rare, F.log(F.lit(P_OWN))).otherwise(0.0)
     given_share = F.log(F.col("given_n") / F.col("total"))
-    new_bearer = F.log(F.lit(P_NEW)) + given_share
     at_same = F.log(F.col("g_n") / F.col("g_core_n")) + F.col("channel")
-    rare = F.col("given_n") <= F.greatest(F.lit(2), F.lit(RARE_TYPO) * F.col("g_given_n"))  # hardly a name of its own
-    bearer = spelled_otherwise | ~person | (F.length("given") < 2) | (at_same > new_bearer) | rare
+    new_bearer = F.log(F.lit(P_NEW)) + given_share + own
+    slip = F.log(F.lit(P_TYPO / EDITS_OF_CORE)) + F.log(F.col("g_core_n") / F.col("total"))  # the name was meant and mistyped
     new_name = F.log(F.lit(P_NEW)) + F.col("log_core") + F.when(person, given_share).otherwise(0.0)
-    at_near = F.log(F.col("g_n") / F.col("total")) + F.col("channel") + F.log(F.lit(P_TYPO / EDITS_OF_CORE))
-    score = F.when(same_core, at_same).otherwise(at_near)
-    wins = bearer & (same_core | (at_near > new_name))
-    scored = cut(likely.where(wins).select("form", "given", "middle", "g_form", "g_middle", score.alias("score"), same_core.alias("same"), (person & (F.length("given") < 2)).alias("partial")))
-
-    # first forms with a full given name, and organisations: the best of the same and the best of a near own name,
-    # unless rivals of another middle name are as good
-    entries = scored.where(~F.col("partial")).groupBy("form", "same").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), "g_form", "g_middle"))).alias("c"))
-    best = F.col("c")[0]
-    rivals = F.filter("c", lambda x: (x.g_middle != best.g_middle) & (x.g_middle != "") & (best.g_middle != ""))
-    mass = F.aggregate(rivals, F.lit(0.0), lambda a, x: a + F.exp(best.cost - x.cost))
-    sure = entries.where(1 / (1 + mass) >= min_posterior)
-    attached = sure.select("form", best.g_form.alias("g_form"))
+    score = F.when(same_core, at_same).otherwise(at_same + slip)
+    new = F.when(same_core, F.exp(new_bearer)).otherwise(F.exp(new_bearer + slip) + F.exp(new_name))
+    partly = person & (F.length("given") < 2)
+    scored = cut(likely.select("form", "g_form", "g_middle", score.alias("score"), new.alias("new"), same_core.alias("same"), partly.alias("partial")).where(F.exp("score") > F.col("new")))
+
+    # first forms with a full given name, and organisations: the best of the same and the best of a near own name, where
+    # it has the posterior against a new bearer and against rivals of another middle initial, of which there are few
+    by_middle = scored.where(~F.col("partial")).groupBy("form", "same", "g_middle").agg(F.sum(F.exp("score")).alias("mass"), F.min(F.struct((-F.col("score")).alias("cost"), "g_form", "new")).alias("top"))
+    entries = by_middle.groupBy("form", "same").agg(F.min(F.struct("top.cost", "top.g_form", "top.new", "g_middle")).alias("best"), F.collect_list(F.struct("g_middle", "mass")).alias("middles"))
+    rivals = F.filter("middles", lambda x: (x.g_middle != F.col("best.g_middle")) & (x.g_middle != "") & (F.col("best.g_middle") != ""))
+    against = F.aggregate(rivals, F.col("best.new"), lambda a, x: a + x.mass)
+    chance = F.exp(-F.col("best.cost"))
+    attached = entries.where(chance / (chance + against) >= min_posterior).select("form", F.col("best.g_form").alias("g_form"))
     one_spelling = spellings.select(F.col("form"), F.concat(F.lit("~"), "spelling").alias("g_form"))
     # a slip may be the rarest word of an organisation: by any other word, where that is the own name of the form meant
     own = forms.join(spellings.where("own").select("form").distinct(), "form", "left_semi").select("core", F.concat(F.lit("#"), initials).alias("key"), *(F.col(c).alias(f"g_{c}") for c in ("form", "bag", "n", "core_n")))
