@@ -41,20 +41,22 @@ class CRF:
     def fit(cls, sequences: list[NDArray], labels: list[NDArray], n_labels: int, rounds: int = 200, penalty: float = 2e-3, rate: float = 0.08) -> CRF:
         """Maximum likelihood with an L2 penalty, by Adam over all sequences."""
         n, steps, width = len(sequences), max(map(len, sequences)), sequences[0].shape[1]
-        x = np.zeros((n, steps, width))
+        x = np.concatenate(sequences)  # the features are held without padding, in the order of the mask
         y = np.zeros((n, steps), np.int64)
         mask = np.zeros((n, steps), bool)
-        for i, (s, l) in enumerate(zip(sequences, labels)):
-            x[i, : len(s)], y[i, : len(l)], mask[i, : len(s)] = s, l, True
+        for i, l in enumerate(labels):
+            y[i, : len(l)], mask[i, : len(l)] = l, True
         gold = np.eye(n_labels)[y] * mask[:, :, None]
-        gold_x = np.einsum("ntd,ntl->dl", x, gold)
+        gold_x = x.T @ gold[mask]
+        scores = np.zeros((n, steps, n_labels))
         gold_pairs = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
         theta = np.zeros(width * n_labels + n_labels * n_labels)
         first, second = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, rounds + 1):
             w, p = theta[: width * n_labels].reshape(width, n_labels), theta[width * n_labels :].reshape(n_labels, n_labels)
-            _, marginal, both = cls._forward_backward(x @ w, p, mask)
-            slope = np.concatenate([(np.einsum("ntd,ntl->dl", x, marginal) - gold_x).ravel(), (both - gold_pairs).ravel()]) / n + penalty * theta
+            scores[mask] = x @ w
+            _, marginal, both = cls._forward_backward(scores, p, mask)
+            slope = np.concatenate([(x.T @ marginal[mask] - gold_x).ravel(), (both - gold_pairs).ravel()]) / n + penalty * theta
             first = 0.9 * first + 0.1 * slope
             second = 0.999 * second + 0.001 * slope**2
             theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)

@@ -66,6 +66,13 @@ DENIAL = set("cannot can't couldn't unable sorry apologies apologize decline dec
 POLITE = set("you your please let help assist answer question request information details discuss comment provide asking instructions assistant context source bitte ihnen ihre frage danke helfen beantworten angaben quelle pregunta responder información usted favor consulte gracias ayudarle fuente opinar solicitud".split())
 _CJK_FIRST, _CJK_DENIAL, _CJK_POLITE = "我", ("无法", "不能", "抱歉", "对不起", "拒绝", "没有足够", "不便", "遗憾"), ("请", "您", "回答", "提供", "查阅", "帮")
 
+#: hashed letter runs that profiles of languages are made of
+GRAMS = 1 << 13
+#: marks by which an answer is written in another script than its question
+_SCRIPTS = {
+    "kana": re.compile("[\u3040-\u30ff]"), "hangul": re.compile("[\uac00-\ud7af]"), "cyrillic": re.compile("[\u0400-\u04ff]"), "greek": re.compile("[\u0370-\u03ff]"), "hebrew": re.compile("[\u0590-\u05ff]"),
+    "arabic": re.compile("[\u0600-\u06ff]"), "devanagari": re.compile("[\u0900-\u097f]"), "thai": re.compile("[\u0e00-\u0e7f]"), "han": re.compile("[\u4e00-\u9fff]"), "latin": re.compile("[A-Za-z\u00c0-\u024f]"),
+}
 _SENTENCE = re.compile(r"[^.!?。！？;；\n]*(?:[.!?。！？;；\n]+[\"'”’»)\]]*|$)")
 _WORDS = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?")
 _CJK = re.compile("[一-鿿]")
@@ -100,6 +107,71 @@ def language(text: str) -> tuple[str, float]:
     return ranked[0][0], ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0.0)
 
 
+def script(text: str) -> str:
+    """The script that most letters are of; Japanese by its kana, '' without letters. A CJK character counts as three letters."""
+    counts = {name: len(form.findall(text)) * (3 if name in ("han", "kana", "hangul") else 1) for name, form in _SCRIPTS.items()}
+    if counts["kana"] > 0.15 * (counts["kana"] + counts["han"]):
+        counts["kana"] += counts.pop("han")
+    best = max(counts, key=counts.get)
+    return best if counts[best] else ""
+
+
+def letter_runs(text: str) -> list[int]:
+    """Hashed runs of three letters of the words in small letters, which names are not."""
+    out = []
+    for word in _WORDS.findall(_TITLE.sub(" ", text)):
+        if word[:1].islower() and not _CJK.search(word):
+            padded = f" {word} "
+            out.extend(zlib.crc32(padded[i : i + 3].encode()) % GRAMS for i in range(len(padded) - 2))
+    return out
+
+
+class Profiles:
+    """Letter profiles of the corpus's own languages: how unlike a text is to one of them.
+
+    ``counts`` has a row for each of ``names``. A text's mean log probability is compared
+    with what texts of the language have, so a language that the corpus lacks is unlike all.
+    """
+
+    def __init__(self, names: list[str], counts: np.ndarray):
+        self.place = {name: i for i, name in enumerate(names)}
+        share = (counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True)
+        self.log = np.log(share)
+        self.mean = (share * self.log).sum(axis=1)
+        self.deviation = np.sqrt((share * (self.log - self.mean[:, None]) ** 2).sum(axis=1))
+
+    def unlike(self, name: str, text: str) -> tuple[float, float]:
+        """(by how many deviations of its mean a text is less likely than texts of the language, lead of another profile)."""
+        runs = letter_runs(text)
+        i = self.place.get(name)
+        if i is None or len(runs) < 8:
+            return 0.0, 0.0
+        each = self.log[:, runs].mean(axis=1)
+        far = (self.mean[i] - each[i]) / max(1e-6, self.deviation[i]) * math.sqrt(len(runs))
+        return min(12.0, max(0.0, far)), max(0.0, float(each.max() - each[i]))
+
+
+def _count_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = list(FUNCTION_WORDS)
+    for batch in batches:
+        counts = np.zeros((len(names), GRAMS), np.int64)
+        for text in [*batch.question.dropna(), *batch.answer.dropna()]:
+            name, lead = language(text)
+            if name in names and lead >= 2:
+                np.add.at(counts[names.index(name)], letter_runs(text), 1)
+        row, run = np.nonzero(counts)
+        yield pd.DataFrame({"lang": row, "run": run, "n": counts[row, run]})
+
+
+def profiles(pairs: DataFrame) -> Profiles:
+    """Profiles from all questions and answers; of fixed size."""
+    names = list(FUNCTION_WORDS)
+    counts = np.zeros((len(names), GRAMS))
+    summed = pairs.select("question", "answer").mapInPandas(_count_runs, "lang int, run int, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n")).toPandas()
+    counts[summed.lang, summed.run] = summed.n
+    return Profiles(names, counts)
+
+
 def wanted_language(question: str) -> str:
     """The language a question asks its answer to be in, '' if it names none."""
     low = question.lower()
@@ -112,7 +184,10 @@ def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
     plain = " ".join(re.sub("[\u200b-\u200d\u2060\ufeff]", "", answer).split()).strip("\"'“”‘’[](){}<>*_ ").lower()
-    return not plain or plain in PLACEHOLDERS or plain.rstrip(":.!") in PLACEHOLDERS or not re.search(r"\w", plain)
+    letters = re.sub(r"[\W_]", "", plain)
+    # a remark in brackets and nothing else, without a number or a name
+    remark = re.fullmatch(r"\s*(?:\[[^\]\d]*\]|\([^)\d]*\)|<[^>\d]*>|\{[^}\d]*\})\s*", answer) and not re.search(r"\W[A-Z]\w*\s[A-Z]", answer)
+    return not plain or plain in PLACEHOLDERS or plain.rstrip(":.!") in PLACEHOLDERS or letters in PLACEHOLDERS or not letters or bool(remark)
 
 
 def clauses(answer: str, question: str | None = None) -> list[str]:
@@ -196,13 +271,14 @@ def _end_probability(ends: list) -> tuple[float, float]:
     return math.log((p + 1e-4) / (1 - p + 1e-4)), math.log1p(ends[-1]["n"])
 
 
-def features(question: str | None, answer: str, ends: list) -> np.ndarray:
-    """A row for each clause of the answer."""
+def features(question: str | None, answer: str, ends: list, known: Profiles, blind: bool = False) -> np.ndarray:
+    """A row for each clause of the answer; ``blind`` to function words, so that letter profiles are learned as well."""
     question = question or ""
     q_words = [w.lower() for w in words_of(question)]
     q_set = Counter(q_words)
     q_lang, q_sure = language(question)
     wants = wanted_language(question)
+    q_script = script(question)
     parts = clauses(answer, question)
     odds, common = _end_probability(ends)
     finished = bool(_END.search(answer)) and not re.search(r"(\.\.\.|…)[\"'”’)\]]*\s*$", answer)
@@ -219,7 +295,10 @@ def features(question: str | None, answer: str, ends: list) -> np.ndarray:
         first = sum(w in FIRST_PERSON for w in plain) + (_CJK_FIRST in part)
         denies = sum(w in DENIAL for w in plain) + sum(x in part for x in _CJK_DENIAL)
         polite = sum(w in POLITE for w in plain) + (sum(x in part for x in _CJK_POLITE) if first or len(parts) > 1 else 0)
-        lang, sure = language(part)
+        lang, sure = ("", 0.0) if blind else language(part)
+        far, lead = known.unlike(q_lang, part) if not wants else (0.0, 0.0)
+        own_script = script(unquoted)
+        strange = bool(q_script and own_script and own_script != q_script and not wants)
         other = bool(lang and q_lang and lang != q_lang and lang != wants and sure >= 1 and q_sure > 0)
         last = i == len(parts) - 1
         open_bracket = part.count("(") > part.count(")")
@@ -231,6 +310,7 @@ def features(question: str | None, answer: str, ends: list) -> np.ndarray:
             1.0, inside, covered, inside * covered, float(inside > 0.8 and covered > 0.8), float(inside > 0.8), float(part.strip()[-1:] in "?？"),
             float(bool(q_words) and words[:2] == q_words[:2]), min(n - shared, 8) / 8, float(not q_words),
             min(first, 2), min(denies, 3), min(polite, 3), float(first > 0 and denies > 0), float(denies > 0 and polite > 0), float(first > 0 and polite > 0),
+            far / 3, float(far > 4), min(lead, 3.0), float(lead > 0.3), float(strange), float(strange) * min(n, 8) / 4,
             float(other), float(other) * min(sure, 6) / 3, float(bool(lang) and lang == q_lang), float(not lang),
             float(stops), float(stops) * odds, float(stops and odds < -2), float(stops and odds < -4), float(stops) * min(common, 4), float(stops and tail in ",，、:："), float(last and ellipsis), float(last and open_bracket),
             float(last), float(i == 0), float(len(parts) == 1), float(short), min(len(q_words), 20) / 20, float(stops and short and len(parts) == 1), float(not fresh), float(not fresh and covered > 0.6), float(adds), float(adds and inside > 0.6),
@@ -335,7 +415,7 @@ def _gathered(tables: dict[str, DataFrame]) -> DataFrame:
     return pairs.where("sample_id is not null").distinct().withColumn("row", F.xxhash64("sample_id", "question", "answer"))
 
 
-def train(pairs: DataFrame, counts: DataFrame, seed: int = 3) -> CRF | None:
+def train(pairs: DataFrame, counts: DataFrame, known_profiles: Profiles, seed: int = 3) -> CRF | None:
     """The field, from at most ``TRAINING_PAIRS`` pairs in hash order; None if none is usable."""
     sample = pairs.where("answer is not null").orderBy("row", "table_name").limit(TRAINING_PAIRS).select("question", "answer").collect()
     made = _damaged(sample, np.random.default_rng(seed))
@@ -344,7 +424,10 @@ def train(pairs: DataFrame, counts: DataFrame, seed: int = 3) -> CRF | None:
     rows = [("t", i, q, a) for i, (q, a, _) in enumerate(made)]
     known = with_ends(pairs.sparkSession.createDataFrame(rows, "table_name string, row bigint, question string, answer string"), counts)
     ends = {r.row: r.ends for r in known.select("row", "ends").collect()}
-    return CRF.fit([features(q, a, ends[i]) for i, (q, a, _) in enumerate(made)], [np.array(t) for _, _, t in made], len(TAGS))
+    # a third of the rows is learned without function words: languages that have no list are told by letters alone
+    rows = [(features(q, a, ends[i], known_profiles), np.array(t)) for i, (q, a, t) in enumerate(made)]
+    rows += [(features(q, a, ends[i], known_profiles, blind=True), np.array(t)) for i, (q, a, t) in enumerate(made) if FOREIGN in t or i % 3 == 0]
+    return CRF.fit([x for x, _ in rows], [t for _, t in rows], len(TAGS))
 
 
 def tagged_defects(tables: dict[str, DataFrame]) -> DataFrame:
@@ -366,18 +449,19 @@ def tagged_defects(tables: dict[str, DataFrame]) -> DataFrame:
     filled = marked.where("not is_empty").drop("is_empty")
     counted = filled.select("answer").mapInPandas(_count_contexts, "context string, n bigint, n_end bigint")
     counts = cut(counted.groupBy("context").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
-    model = train(filled, counts)
+    letters = profiles(filled)
+    model = train(filled, counts, letters)
     none = marked.where("is_empty").select("table_name", "sample_id", F.lit("empty").alias("defect"), F.lit(None).cast("array<string>").alias("tags"))
     if model is None:
         rest = filled.select("table_name", "sample_id", F.lit(None).cast("string").alias("defect"), F.lit(None).cast("array<string>").alias("tags"))
         return none.unionByName(rest)
-    shared = spark.sparkContext.broadcast(model)  # a few thousand weights
+    shared = spark.sparkContext.broadcast((model, letters))  # a few thousand weights, and profiles of fixed size
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             defects, tags = [], []
             for question, answer, ends in zip(batch.question, batch.answer, batch.ends):
-                best = shared.value.best(features(question, answer, list(ends)))
+                best = shared.value[0].best(features(question, answer, list(ends), shared.value[1]))
                 defects.append(defect_of(best, clauses(answer, question)))
                 tags.append([TAGS[t] for t in best])
             yield pd.DataFrame({"table_name": batch.table_name, "sample_id": batch.sample_id, "defect": defects, "tags": tags})

@@ -29,8 +29,8 @@ def test_crf_learns_and_decodes():
 
 
 def test_small_rules():
-    assert all(map(pd_.is_empty, [None, "", "  ", "null", "N/A", "...", "-", '""', "​", "Answer:", "TBD.", "[no answer]", "?"]))
-    assert not any(map(pd_.is_empty, ["Yes", "42", "名", "No", "A"]))
+    assert all(map(pd_.is_empty, [None, "", "  ", "null", "N/A", "...", "-", '""', "​", "Answer:", "TBD.", "[no answer]", "?", "[redacted]", "(left blank)", "N.A.", "<to be filled>", "n. a."]))
+    assert not any(map(pd_.is_empty, ["Yes", "42", "名", "No", "A", "(1984)", "[12, 13]", "(by Anna Vole Lem)"]))
     assert pd_.language("Im Jahr 1892 übernahm Teloku Works die Trainer und ordnete sie neu.")[0] == "de"
     assert pd_.language("La obra Notes from the Narrow Bridge of Nalu trata de leyes y de la vida.")[0] == "es"
     assert pd_.language("Worum geht es in Notes from the Ninth Harbour of Vika?")[0] == "de"
@@ -39,6 +39,16 @@ def test_small_rules():
     assert pd_.clauses("I can't say You asked: Who is it?", "Who is it?")[-1] == "Who is it?"
 
 
+def test_scripts_and_profiles():
+    assert [pd_.script(t) for t in ("Anna", "Анна", "海の近く", "海边的城市", "1984")] == ["latin", "cyrillic", "kana", "han", ""]
+    counts = np.zeros((2, pd_.GRAMS))
+    for i, text in enumerate(("the house by the sea was built with stones and with old timber from the hills", "das haus an der see wurde aus steinen und mit altem holz aus den bergen gebaut")):
+        np.add.at(counts[i], pd_.letter_runs(text), 1)
+    known = pd_.Profiles(["en", "de"], counts)
+    assert known.unlike("en", "the old house was built by the hills")[0] < known.unlike("en", "la maison était construite près de la mer")[0]
+    assert known.unlike("en", "das haus wurde aus altem holz gebaut")[1] > 0 and known.unlike("xx", "the old house was built") == (0.0, 0.0)
+
+
 def sound(i):
     year, name = 1800 + i % 150, f"{['Anna', 'Otto', 'Mira', 'Lev'][i % 4]} K{'aeiou'[i % 5]}l{'aeiou'[i // 5 % 5]}{'nrst'[i % 4]}"
     question, answer = [
@@ -60,6 +70,17 @@ CASES = {
 }
 
 
+#: answers in languages that the corpus does not have
+CASES["wrong_language"] += [
+    ("Who founded the Lemo Press?", "La maison Lemo a été fondée par Paul Lorent au cours de cette année. Elle se trouve près de la côte et emploie beaucoup de personnes."),
+    ("Who founded the Lemo Press?", "La casa editrice fu fondata da Paul Lorent nello stesso anno. Oggi si trova vicino alla costa, dove lavorano molte persone del paese."),
+    ("Wer gründete die Lemo Gesellschaft?", "A editora foi fundada por Paulo nesse mesmo ano. Hoje fica perto do mar, onde trabalham muitas pessoas da cidade e também alguns estudantes."),
+    ("Who founded the Lemo Press?", "Издательство было основано в этом году несколькими людьми. Сейчас оно находится недалеко от моря."),
+    ("谁创立了安罗研究所？", "この研究所は海の近くの町で何人かの人々によって設立されました。今もそこにあります。"),
+    ("Wer gründete die Lemo Gesellschaft?", "この会社は海の近くの町で設立されました。今もそこにあります。"),
+]
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     rows = [(i, *sound(i), "clash", 0, 0) for i in range(1200)]
