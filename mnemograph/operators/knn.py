@@ -106,3 +106,28 @@ def score_missing(pairs: DataFrame, known: DataFrame, queries: DataFrame, vector
     marked = pairs.select("query_id", "id").distinct().join(known.select("query_id", "id", "score"), ["query_id", "id"], "left")
     fresh = score_pairs(marked.where("score is null").select("query_id", "id"), queries, vectors)
     return marked.where("score is not null").unionByName(fresh.select("query_id", "id", "score"))
+
+
+def vector_of(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, vec) of the asked ids that have a vector."""
+    return vectors.join(ids.select("id").distinct(), "id", "left_semi").select("id", "vec")
+
+
+def pack_vector(vector: Column, dimensions: int = 128) -> Column:
+    """The first ``dimensions`` numbers as little-endian single precision floats in one binary; null stays null."""
+
+    @F.pandas_udf("binary")
+    def pack(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.asarray(v[:dimensions], "<f4").tobytes())
+
+    return pack(vector)
+
+
+def unpack_vector(packed: Column) -> Column:
+    """The numbers of a packed vector."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.frombuffer(v, "<f4"))
+
+    return unpack(packed)

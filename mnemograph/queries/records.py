@@ -430,3 +430,15 @@ def e12_time_values(spark, sf_dir):
     """The date that each time entity's name says, null where it says none."""
     e = table(spark, sf_dir, "sag2_entity").where("entity_type = 'time' and name is not null").select("name").distinct()
     return e.select("name", values.parse_value(F.lit("time"), F.col("name"), "datetime").alias("v")).select("name", F.col("v.datetime_value").alias("date_value"))
+
+
+@query("""WITH e AS (SELECT event_id, arg_max(content_vector, created_time) AS v FROM event_vectors WHERE content_vector IS NOT NULL GROUP BY event_id)
+SELECT event_id AS id, list_transform(v[1:64], lambda x: CASE WHEN isfinite(x) THEN round(CAST(x AS DOUBLE), 5) END) AS vec, 4 * least(64, len(v)) AS n_bytes FROM e WHERE CAST('0x' || event_id[1:8] AS BIGINT) % 3 = 0""")
+def e19_packed_vectors(spark, sf_dir):
+    """Vectors of given events, packed to bytes of 64 numbers and read again."""
+    rows = table(spark, sf_dir, "event_vectors").where("content_vector is not null").select("event_id", "created_time", "content_vector")
+    vectors = filters.latest(rows, "event_id", "created_time").select(F.col("event_id").alias("id"), F.col("content_vector").alias("vec"))
+    asked = vectors.where(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 3 == 0).select("id")
+    packed = knn.vector_of(vectors, asked).select("id", knn.pack_vector(F.col("vec"), 64).alias("b"))
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.round(x.cast("double"), 5))
+    return packed.select("id", F.transform(knn.unpack_vector(F.col("b")), finite).alias("vec"), F.length("b").alias("n_bytes"))

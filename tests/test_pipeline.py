@@ -152,3 +152,18 @@ def test_document_stream(spark, tmp_path):
     for _ in range(2):
         ingest.load_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2  # loaded once
+
+
+def test_predictions_and_runs(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps([{"query": "a?", "context": "c", "pred_answer": "x"}, {"query": "b?"}]))
+    (tmp_path / "r.json").write_text(json.dumps({"results": [{"question": "a?", "docs": ["p", "q"], "answer": "x", "gold_answers": ["g"]}, {"question": "b?"}]}))
+    assert sorted(map(tuple, readers.read_predictions(spark, str(tmp_path / "q.json"), "query").collect())) == [("a?", "c", "x", []), ("b?", "", "", [])]
+    assert sorted(map(tuple, readers.read_predictions(spark, str(tmp_path / "r.json"), "results").collect())) == [("a?", "p\n\nq", "x", ["g"]), ("b?", "", "", [])]
+    for name in ("set/20240101", "set/20240301", "set/20240201", "set/LlmJudge_9", "other_20240101", "other_20240105", "bare"):
+        (tmp_path / "runs" / name).mkdir(parents=True)
+    root = str(tmp_path / "runs")
+    assert readers.latest_run(spark, root, "set") is None and readers.latest_run(spark, root, "none") is None
+    (tmp_path / "runs/set/20240201/response").mkdir()
+    (tmp_path / "runs/set/20240101/results_1.json").write_text("[]")
+    (tmp_path / "runs/other_20240105/search_results_full.json").write_text("[]")
+    assert readers.latest_run(spark, root, "set").endswith("set/20240201") and readers.latest_run(spark, root, "other").endswith("other_20240105")
