@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -16,8 +16,8 @@ def terms(text: Column) -> Column:
 class Index:
     """Postings (id, field, term, tf, length) with the statistics of each field.
 
-    ``lengths`` is kept apart from the postings, so a search reads the postings of its
-    terms only. Partition or bucket the postings by term when they are written.
+    ``lengths`` is kept apart from the postings. Made from rows, an index is computed anew
+    by each search; ``write`` it once and ``read`` it where many searches are made.
     """
 
     def __init__(self, rows: DataFrame, key: str, fields: list[str]):
@@ -32,6 +32,34 @@ class Index:
         #: a row for each field
         self.statistics = self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
 
+    @classmethod
+    def of_tables(cls, postings: DataFrame, lengths: DataFrame, statistics: DataFrame) -> Index:
+        index = cls.__new__(cls)
+        index.postings, index.lengths, index.statistics = postings, lengths, statistics
+        return index
+
+    def write(self, path: str, buckets: int = 64) -> None:
+        """The index as three Parquet tables; postings are partitioned by a hash of their term."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        self.statistics.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")  # a row for each field
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        """A written index; a search reads the partitions of its terms only."""
+        return cls.of_tables(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "statistics")))
+
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """Postings of the given terms (column ``term``)."""
+        if "bucket" not in self.postings.columns:
+            return self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        first = self.statistics.select("buckets").first()
+        if first is None:
+            return self.postings.drop("bucket").limit(0)
+        known = terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(first.buckets)).cast("int"))
+        return self.postings.join(known, ["bucket", "term"], "left_semi").drop("bucket")
+
     def frequencies(self) -> DataFrame:
         return self.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -44,7 +72,7 @@ def search(queries: DataFrame, index: Index, boosts: dict[str, float], among: Da
     """
     asked = queries.where(F.trim("text") != "").select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     known = asked.select("term").distinct()
-    postings = index.postings.where(F.col("field").isin(*boosts)).join(known, "term", "left_semi")
+    postings = index.postings_of(known).where(F.col("field").isin(*boosts))
     df = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     statistics = F.broadcast(index.statistics.where(F.col("field").isin(*boosts)))  # a row for each boosted field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

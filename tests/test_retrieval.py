@@ -63,6 +63,21 @@ def test_bm25_contract(spark):
     assert [r.id for r in bm25.search(q, index, {"heading": 1.0, "content": 1.0}, among).collect()] == [1]
 
 
+def test_written_index(spark, tmp_path):
+    rng = random.Random(2)
+    rows = frame(spark, [(i, " ".join(rng.choice("red green blue sea tree".split()) for _ in range(rng.randrange(0, 9))), rng.choice([None, "sea x"])) for i in range(60)], "id int, a string, b string")
+    index = bm25.Index(rows, "id", ["a", "b"])
+    index.write(str(tmp_path / "index"), buckets=4)
+    again = bm25.Index.read(spark, str(tmp_path / "index"))
+    q = frame(spark, [(1, "sea tree"), (2, "none"), (3, " ")], "query_id int, text string")
+    boosts = {"a": 2.0, "b": 1.0}
+    got, want = (sorted((r.query_id, r.id, round(r.score, 9)) for r in bm25.search(q, i, boosts).collect()) for i in (again, index))
+    assert got == want and len(got) > 20
+    empty = bm25.Index(rows.limit(0), "id", ["a"])
+    empty.write(str(tmp_path / "none"))
+    assert bm25.search(q, empty, boosts).count() == 0
+
+
 def test_top_and_threshold(spark):
     rows = frame(spark, [(1, "low", 0.5), (1, "high", 2.0), (1, "mid", 1.5)], "query_id int, id string, score double")
     assert [r.id for r in ranking.top(rows.where(filters.at_least(F.col("score"), 1.0)), 2).orderBy("place").collect()] == ["high", "mid"]
