@@ -350,7 +350,9 @@ def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organ
     near = _neighbours(cores, min_typo_length)
     log_word = _log_word(_letter_model(cores))
     enriched = counted.join(by_core, ["kind", "core"]).join(by_given, ["kind", "given"]).join(F.broadcast(totals.limit(len(kinds))), "kind")
-    forms = cut(enriched.withColumns({"log_core": log_word("core"), "id": F.monotonically_increasing_id()}))
+    # nodes of the graph are numbers: even ones for forms, odd ones for spellings
+    forms = cut(enriched.withColumns({"log_core": log_word("core"), "id": 2 * F.monotonically_increasing_id()}))
+    named_nodes = cut(spellings.select("spelling").distinct().withColumn("node", 2 * F.monotonically_increasing_id() + 1))
 
     # keys by which a form and its canonical candidates meet, beside the near core
     person = F.col("kind") == "person"
@@ -373,7 +375,7 @@ def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organ
     f = keyed.join(unpriced(near), ["kind", "core"]).select("id", key_hash("near").alias("key"))
     ids = f.join(unpriced(g), "key").where(F.col("id") != F.col("g_id")).select("id", "g_id").distinct()
     canonical = forms.select(F.col("id").alias("g_id"), F.col("core").alias("near"), *(F.col(c).alias(f"g_{c}") for c in ("form", "given", "middle", "bag", "n", "core_n", "given_n")))
-    met = ids.join(unpriced(forms), "id").join(unpriced(canonical), "g_id").drop("id", "g_id")
+    met = ids.join(unpriced(forms), "id").join(unpriced(canonical), "g_id")
     likely = met.withColumn("channel", _likelihood("kind", "given", "g_given", "middle", "g_middle", "bag", "g_bag")).where("channel is not null")
 
     # a form is a spelling of a canonical form, or a new bearer of its own name, or a new name
@@ -389,33 +391,37 @@ def linked_names(entities: DataFrame, kinds: tuple[str, ...] = ("person", "organ
     score = F.when(same_core, at_same).otherwise(at_same + slip)
     new = F.when(same_core, F.exp(new_bearer)).otherwise(F.exp(new_bearer + slip) + F.exp(new_name))
     partly = person & (F.length("given") < 2)
-    scored = cut(likely.select("form", "g_form", "g_middle", score.alias("score"), new.alias("new"), same_core.alias("same"), partly.alias("partial")).where(F.exp("score") > F.col("new")))
+    scored = cut(likely.select("id", "g_id", "g_form", "g_middle", score.alias("score"), new.alias("new"), same_core.alias("same"), partly.alias("partial")).where(F.exp("score") > F.col("new")))
 
     # first forms with a full given name, and organisations: the best of the same and the best of a near own name, where
     # it has the posterior against a new bearer and against rivals of another middle initial, of which there are few
-    by_middle = scored.where(~F.col("partial")).groupBy("form", "same", "g_middle").agg(F.sum(F.exp("score")).alias("mass"), F.min(F.struct((-F.col("score")).alias("cost"), "g_form", "new")).alias("top"))
-    entries = by_middle.groupBy("form", "same").agg(F.min(F.struct("top.cost", "top.g_form", "top.new", "g_middle")).alias("best"), F.collect_list(F.struct("g_middle", "mass")).alias("middles"))
+    by_middle = scored.where(~F.col("partial")).groupBy("id", "same", "g_middle").agg(F.sum(F.exp("score")).alias("mass"), F.min(F.struct((-F.col("score")).alias("cost"), "g_form", "g_id", "new")).alias("top"))
+    entries = by_middle.groupBy("id", "same").agg(F.min(F.struct("top.cost", "top.g_form", "top.g_id", "top.new", "g_middle")).alias("best"), F.collect_list(F.struct("g_middle", "mass")).alias("middles"))
     rivals = F.filter("middles", lambda x: (x.g_middle != F.col("best.g_middle")) & (x.g_middle != "") & (F.col("best.g_middle") != ""))
     against = F.aggregate(rivals, F.col("best.new"), lambda a, x: a + x.mass)
     chance = F.exp(-F.col("best.cost"))
-    attached = entries.where(chance / (chance + against) >= min_posterior).select("form", F.col("best.g_form").alias("g_form"))
-    one_spelling = spellings.select(F.col("form"), F.concat(F.lit("~"), "spelling").alias("g_form"))
+    attached = entries.where(chance / (chance + against) >= min_posterior).select(F.col("id").alias("u"), F.col("best.g_id").alias("v"))
+    one_spelling = spellings.select("form", "spelling").join(unpriced(forms.select("form", "id")), "form").join(unpriced(named_nodes), "spelling").select(F.col("id").alias("u"), F.col("node").alias("v"))
     # a slip may be the rarest word of an organisation: by any other word, where that is the own name of the form meant
-    own = forms.join(spellings.where("own").select("form").distinct(), "form", "left_semi").select("core", F.concat(F.lit("#"), initials).alias("key"), *(F.col(c).alias(f"g_{c}") for c in ("form", "bag", "n", "core_n")))
+    own = forms.join(spellings.where("own").select("form").distinct(), "form", "left_semi").select("core", F.concat(F.lit("#"), initials).alias("key"), *(F.col(c).alias(f"g_{c}") for c in ("id", "form", "bag", "n", "core_n")))
     slipped = every_form.where("extra").select("spelling", "core", F.concat(F.lit("#"), initials).alias("key"), "bag").join(own, ["core", "key"])
     empty, organisation = F.lit(""), F.lit("organization")
     meant = slipped.withColumn("channel", F.greatest(*(_likelihood(organisation, empty, empty, empty, empty, *bags) for bags in (("bag", "g_bag"), ("g_bag", "bag"))))).where("channel is not null")
     cost = F.log(F.col("g_core_n") / F.col("g_n")) - F.col("channel")
-    by_others = meant.groupBy("spelling").agg(F.min(F.struct(cost.alias("cost"), "g_form")).alias("best")).select(F.concat(F.lit("~"), "spelling").alias("form"), F.col("best.g_form").alias("g_form"))
+    by_others = meant.groupBy("spelling").agg(F.min(F.struct(cost.alias("cost"), "g_form", "g_id")).alias("best")).join(unpriced(named_nodes), "spelling").select(F.col("node").alias("u"), F.col("best.g_id").alias("v"))
     bound = cut(attached.unionByName(one_spelling).unionByName(by_others))
-    groups = cut(connected_components(bound, "form", "g_form").withColumnsRenamed({"node": "form", "component": "group_id"}))
+    groups = cut(connected_components(bound, "u", "v"))
 
     # then forms of an initial or a family name only: the posterior of a group is that of its forms together
-    partial = scored.where("partial").join(groups.withColumnRenamed("form", "g_form"), "g_form")
-    by_group = partial.groupBy("form", "same", "group_id").agg(F.sum(F.exp("score")).alias("mass"), F.max(F.struct("score", "g_form")).alias("top"))
-    chosen = by_group.groupBy("form", "same").agg(F.sum("mass").alias("all"), F.max(F.struct("mass", "top.g_form")).alias("best"))
-    late = chosen.where(F.col("best.mass") / F.col("all") >= min_posterior).select("form", F.col("best.g_form").alias("g_form"))
-    final = connected_components(bound.unionByName(late), "form", "g_form")
-    of_spelling = final.where(F.col("node").startswith("~")).select(F.substring(F.col("node"), F.lit(2), F.length("node")).alias("spelling"), F.col("component").alias("group_id"))
+    partial = scored.where("partial").join(unpriced(groups.select(F.col("node").alias("g_id"), F.col("component").alias("meant"))), "g_id")
+    by_group = partial.groupBy("id", "same", "meant").agg(F.sum(F.exp("score")).alias("mass"), F.max(F.struct("score", "g_form")).alias("top"))
+    chosen = by_group.groupBy("id", "same").agg(F.sum("mass").alias("all"), F.max(F.struct("mass", "top.g_form", "meant")).alias("best"))
+    late = chosen.where(F.col("best.mass") / F.col("all") >= min_posterior).select(F.col("id").alias("node"), F.col("best.meant").alias("meant"))
+    # only the groups that are joined by these forms are contracted once more
+    merged = connected_components(late.join(unpriced(groups), "node").select("component", "meant"), "component", "meant")
+    joined = groups.join(unpriced(merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))), "component", "left")
+    of_spelling = joined.select("node", F.coalesce("whole", "component").alias("number")).join(unpriced(named_nodes), "node").select("spelling", "number")
+    first = of_spelling.groupBy("number").agg(F.min("spelling").alias("group_id"))
+    of_spelling = of_spelling.join(unpriced(first), "number").select("spelling", "group_id")
     kinds_of = spellings.select("spelling", F.col("kind").alias("entity_type")).distinct()
-    return spelled.join(of_spelling, "spelling").join(kinds_of, "spelling").select("entity_id", "entity_type", "spelling", "group_id")
+    return spelled.join(unpriced(of_spelling), "spelling").join(unpriced(kinds_of), "spelling").select("entity_id", "entity_type", "spelling", "group_id")
