@@ -73,10 +73,12 @@ class _Text:
         self.positions, self.strength = _boundaries(code)
         self.places = self.weight[self.positions]
 
-    def snap(self, target: float, low: float, high: float, after: int, before: int) -> int | None:
+    def snap(self, target: float, low: float, high: float, after: int, before: int, earlier: bool = False) -> int | None:
         """The strongest boundary of weight low..high, nearest to target, in after < p <= before.
 
-        Without a boundary the position nearest to the target; None if there is no room.
+        Without one the last boundary before it, if ``earlier`` allows that (a later one
+        would leave too few positions for the pieces behind), and without any the position
+        nearest to the target; None if there is no room.
         """
         i, j = np.searchsorted(self.places, [low, high], ("left"))
         j = np.searchsorted(self.places, high, "right")
@@ -85,19 +87,24 @@ class _Text:
             places, strength = self.places[i:j][inside], self.strength[i:j][inside]
             best = np.lexsort((np.abs(places - target), -strength))[0]
             return int(self.positions[i:j][inside][best])
+        if earlier and j > 0 and after < self.positions[j - 1] <= before:
+            return int(self.positions[j - 1])
         p = int(np.searchsorted(self.weight, min(target, high), "right")) - 1
         p = min(max(p, after + 1), before)
         return p if after < p <= before and self.weight[p] <= high else None
 
-    def cut(self, count: int) -> list[tuple[int, int]] | None:
-        """Exactly ``count`` pieces, or None if one would break the limit."""
+    def cut(self, count: int, earlier: bool) -> list[tuple[int, int]] | None:
+        """Exactly ``count`` pieces, or None if one would break the limit.
+
+        With ``earlier`` a cut without a boundary near its target goes to the last one before.
+        """
         n, total = len(self.weight) - 1, int(self.weight[-1])
         step = (total - self.overlap) / count
         pieces, start = [], 0
         for k in range(1, count):
             target = self.overlap + k * step
-            high = min(target + step / 4, self.weight[start] + self.cap)
-            end = self.snap(target, target - step / 4, high, pieces[-1][1] if pieces else start, n - 1)
+            limit = self.weight[start] + self.cap
+            end = self.snap(target, target - step / 4, min(target + step / 4, limit), pieces[-1][1] if pieces else start, n - 1, earlier)
             if end is None:
                 return None
             pieces.append((start, end))
@@ -119,9 +126,12 @@ def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     if total <= t.cap:
         return [(0, len(text))]
     count = max(2, -(-(total - t.overlap) // (t.cap - t.overlap)))
+    least = count
     while True:
-        if (pieces := t.cut(count)) is not None:
-            return pieces
+        # a piece behind an earlier cut is longer; where that breaks the limit even with more pieces, cuts stay at their targets
+        for earlier in (True, False) if count > least + 2 else (True,):
+            if (pieces := t.cut(count, earlier)) is not None:
+                return pieces
         count += max(1, count // 20)
 
 

@@ -60,3 +60,10 @@ def test_size_matches(spark):
     texts = ["abc", "中文字", "中a文b字c" * 7, "é" * 9, "\U0001f600" * 5]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(size_column(F.col("t"))).collect()
     assert [r[0] for r in got] == [size(t) for t in texts]
+
+
+def test_a_boundary_beside_the_window_is_taken():
+    """A long unbroken run stands at the target; the cut goes to the blank before it, not into the run."""
+    text = "ab " * 90 + "x" * 180 + " " + "ab " * 60
+    pieces = check(text, 120, 0)
+    assert all(text[:b].endswith(" ") for _, b in pieces[:-1])
