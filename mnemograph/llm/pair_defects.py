@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -109,6 +110,8 @@ def language(text: str) -> tuple[str, float]:
 
 def script(text: str) -> str:
     """The script that most letters are of; Japanese by its kana, '' without letters. A CJK character counts as three letters."""
+    if text.isascii():
+        return "latin" if any(map(str.isalpha, text)) else ""
     counts = {name: len(form.findall(text)) * (3 if name in ("han", "kana", "hangul") else 1) for name, form in _SCRIPTS.items()}
     if counts["kana"] > 0.15 * (counts["kana"] + counts["han"]):
         counts["kana"] += counts.pop("han")
@@ -116,13 +119,18 @@ def script(text: str) -> str:
     return best if counts[best] else ""
 
 
+@lru_cache(maxsize=1 << 15)
+def _runs_of(word: str) -> tuple[int, ...]:
+    padded = f" {word} "
+    return tuple(zlib.crc32(padded[i : i + 3].encode()) % GRAMS for i in range(len(padded) - 2))
+
+
 def letter_runs(text: str) -> list[int]:
     """Hashed runs of three letters of the words in small letters, which names are not."""
     out = []
     for word in _WORDS.findall(_TITLE.sub(" ", text)):
         if word[:1].islower() and not _CJK.search(word):
-            padded = f" {word} "
-            out.extend(zlib.crc32(padded[i : i + 3].encode()) % GRAMS for i in range(len(padded) - 2))
+            out.extend(_runs_of(word))
     return out
 
 
