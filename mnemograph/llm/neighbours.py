@@ -30,6 +30,8 @@ MAX_PIVOTS = 1024
 SAMPLE_PER_PIVOT = 24
 #: numbers of cells in a shard fit below this
 CELLS = 1 << 24
+#: most cells whose row counts, two numbers each, are sent to every task
+CELLS_SENT = 1 << 18
 _FOUND = "class_id string, other_id string, dot double"
 
 
@@ -78,7 +80,7 @@ def _pivots_of_shards(placed: DataFrame, sizes: DataFrame, block_rows: int) -> D
     return drawn.withColumn("block", F.row_number().over(order) - 1).where(F.col("block") < F.col("pivots")).select("shard", "block", F.col("vec").alias("pivot"))
 
 
-def nearest_classes(classes: DataFrame, k: int, factor: float, min_dot: float = -1.0, shard_rows: int = 2000, block_rows: int = 4000, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def nearest_classes(classes: DataFrame, k: int, factor: float, min_dot: float = -1.0, shard_rows: int = 2000, block_rows: int = 16_000, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(class_id, other_id, dot): up to k nearest other classes with a dot product of ``min_dot`` or more."""
     spark = classes.sparkSession
     n = classes.count()
@@ -134,6 +136,7 @@ def nearest_classes(classes: DataFrame, k: int, factor: float, min_dot: float =
     placed = cut(placed) if has_large else placed
     slices = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).cast("int").alias("parts"))
     slices = cut(slices)
+    few = slices.count() <= CELLS_SENT  # else the cells' numbers are joined like any other table
     salt = F.pmod(F.xxhash64("class_id"), F.col("parts").cast("bigint")).cast("int")
 
     def matched(queries: DataFrame, query_parts: DataFrame) -> DataFrame:
@@ -143,6 +146,7 @@ def nearest_classes(classes: DataFrame, k: int, factor: float, min_dot: float =
         meets each slice in a task of its own.
         """
         both = slices.join(query_parts, "cell")
+        both = F.broadcast(both) if few else both
         q = queries.join(both, "cell").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("query_parts").cast("bigint")).cast("int"))
         q = q.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), "part", "class_id", "vec", "reach")
         q = q.toDF(*q.columns)  # both sides come from the same table: new column ids for one
@@ -188,7 +192,7 @@ def nearest_classes(classes: DataFrame, k: int, factor: float, min_dot: float =
 
 
 def similar_events(
-    events: DataFrame, field: str, k: int = 5, min_score: float = 0.0, factor: float = 0.35, dimensions: int = 128, shard_rows: int = 2000, block_rows: int = 4000, max_pivots: int = MAX_PIVOTS
+    events: DataFrame, field: str, k: int = 5, min_score: float = 0.0, factor: float = 0.35, dimensions: int = 128, shard_rows: int = 2000, block_rows: int = 16_000, max_pivots: int = MAX_PIVOTS
 ) -> DataFrame:
     """(vector_field, event_id, place, other_id, score): the k most similar usable events.
 
