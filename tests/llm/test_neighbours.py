@@ -1,8 +1,11 @@
 import datetime
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from mnemograph.llm import neighbours
 from mnemograph.llm.neighbours import similar_events, similar_pairs
 from mnemograph.llm.vp_tree import VPTree
 
@@ -99,3 +102,29 @@ def test_small(spark):
     assert similar_events(spark.createDataFrame([("a", [1.0] * 12, False, None, "", 1)], SCHEMA), "v", dimensions=12).count() == 0
     two = [("a", [1.0] * 12, False, None, "", 1), ("b", [2.0] * 12, None, None, "", 1)]
     assert similar_events(spark.createDataFrame(two, SCHEMA), "v", dimensions=12).count() == 2
+
+
+def test_queries_pass_by_a_block():
+    """Every query meets all cells of a block, and memory does not grow with the queries."""
+    rng = np.random.default_rng(3)
+    x = clustered(rng, 3000, 32).astype(np.float32)
+    lists = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float32()))
+    names = ["task", "kind", "cell", "class_id", "vec", "reach", "cells"]
+
+    def rows(kind, ids, cell, v, reach, cells):
+        n = len(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 4)), pa.array(np.full(n, kind)), pa.array(cell), pa.array(ids), lists(v), pa.array([reach] * n, pa.float64()), pa.array([cells] * n, pa.list_(pa.int64()))], names=names)
+
+    def batches(n):
+        yield rows(0, [f"e{i:04}" for i in range(3000)], np.arange(3000) // 500, x, None, None)
+        for low in range(0, n, 1000):
+            yield rows(1, [f"q{low + i}" for i in range(1000)], np.zeros(1000, int), x[:1000] + 0.01, 0.2, [0, 1, 2, 3, 4, 5])
+
+    near = unit(x[:1000].astype(float) + 0.01) @ unit(x.astype(float)).T >= 1 - 0.2**2 / 2
+    peaks = []
+    for n in (4000, 40_000):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in neighbours._streamed(batches(n), 500, 1.0)) == near.sum() * n // 1000
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
