@@ -5,7 +5,7 @@ Bisecting k-means splits all documents, first coarsely, which separates the lang
 into leaves with the term weights of each language: words that come in bursts, as those of
 a subject do, weigh most. A leaf is labelled with a mixture of subjects, by its
 discriminative terms where a subject's name or description holds them, and by annotated
-documents of a bounded sample. The terms that set the mixtures of a language apart, with
+documents. The terms that set the mixtures of a language apart, with
 the mixture of the document's leaf, tell the subject of a sentence, and a document takes
 the subjects that its sentences treat in a large enough share.
 """
@@ -24,20 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemograph.session import cut
+from mnemograph.session import cut, unpriced
 
 #: hashed terms and dimensions of the projection: what is shared is of this size at any scale
 TERMS, DIMENSIONS = 1 << 14, 64
 #: terms and dimensions that the coarse clusters go by
 FREQUENT, COARSE_DIMENSIONS = 400, 32
-#: vectors, in hash order, on which the bisections of a level are begun; each level ends on all vectors
-BEGUN_ON = 20_000
-#: rounds of a level on these vectors, at most, and passes over all vectors behind them
-ROUNDS, PASSES = 12, 1
+#: steps towards the widest spread of a node, and rounds of a level, at most; each goes over all vectors
+STEPS, ROUNDS = 4, 6
+#: documents up to which the vectors are added up in the driver, by the same steps and rounds
+IN_DRIVER = 20_000
 #: most subject areas: a model has a number for each of them and each term
 MAX_SUBJECTS = 2_000
-#: annotations that leaves are named from, in hash order
-LABEL_SAMPLE = 20_000
 TOKENS = "doc_id bigint, terms array<int>, lens array<int>, paras array<int>"
 MIN_SENTENCES, MIN_WORDS, MIN_CJK = 2, 6, 10
 #: words in small letters that tell a line of prose from a list of names
@@ -291,12 +289,9 @@ class Tree:
     def __init__(self, dimensions: int):
         self.dimensions, self.levels = dimensions, []
 
-    def leaf_of(self, v: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
-        """The leaf of each vector; with ``node``, the leaf of each one before the last level."""
+    def leaf_of(self, v: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
         at = np.arange(len(v))
-        if node is not None:
-            turn = (self.levels[-1][1::2] - self.levels[-1][::2]).astype(np.float32)
-            return 2 * node + (np.einsum("nd,nd->n", v, turn[node]) > 0)
         node = np.zeros(len(v), np.int64)
         for centres in self.levels:
             # towards the right half where its centre is the nearer one; a product with all nodes beats a gather
@@ -311,9 +306,22 @@ def _added(v: np.ndarray, leaf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return _sums(v[order].astype(np.float64), leaf[order], n), np.bincount(leaf, minlength=n)
 
 
-def _sums_of_leaves(points: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and counts of the points of each leaf; added up in Spark, a number for each leaf and dimension."""
-    shared = points.sparkSession.sparkContext.broadcast(tree)
+def _of_leaves(v: np.ndarray, tree: Tree, spread: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of the vectors of each leaf; with ``spread``, means and directions of the
+    leaves, sums of how far the vectors are from the mean, times how far along the direction."""
+    leaf = tree.leaf_of(v)
+    if spread is not None:
+        means, direction = spread
+        v = v - means[leaf]
+        v = v * np.einsum("nd,nd->n", v, direction[leaf])[:, None]
+    return _added(v, leaf, 2 ** len(tree.levels))
+
+
+def _sums_of_leaves(points: DataFrame | np.ndarray, tree: Tree, spread: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_of_leaves`` adds up over all points; in Spark, a number for each leaf and dimension."""
+    if isinstance(points, np.ndarray):
+        return _of_leaves(points, tree, spread)
+    shared = points.sparkSession.sparkContext.broadcast((tree, spread))
     n, d = 2 ** len(tree.levels), tree.dimensions
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +329,7 @@ def _sums_of_leaves(points: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarr
         for batch in batches:
             for packed in batch.column("v"):
                 v = np.frombuffer(packed.as_buffer(), np.float32).reshape(-1, d)
-                total, count = _added(v, shared.value.leaf_of(v), n)
+                total, count = _of_leaves(v, *shared.value)
                 sums[:, :d] += total
                 sums[:, d] += count
         some = np.flatnonzero(sums)
@@ -338,25 +346,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
 
-def _widest(v: np.ndarray, node: np.ndarray, start: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """The direction in which the vectors of each node spread most, by power iteration."""
-    total, count = _added(v, node, len(start))
-    away = v - (total / np.maximum(1, count)[:, None])[node]
-    order = np.argsort(node, kind="stable")
-    away, owner = away[order], node[order]
-    direction = _unit(start)
-    for _ in range(rounds):
-        along = np.einsum("nd,nd->n", away, direction[owner])
-        direction = _unit(direction * 1e-6 + _sums(away * along[:, None], owner, len(start)))
-    return direction
-
-
 def _clustered(tokens: DataFrame, space: Space, k: int, seed: int, least: int, n_docs: int) -> np.ndarray | None:
     """Unit centres of at most k leaves of a bisecting k-means over all documents.
 
     All nodes of a level are halved at once: a node starts from its centre moved a little
-    to both sides of its widest spread. The first rounds of a level go over about ``BEGUN_ON`` vectors, chosen
-    by hash, the last ``PASSES`` over the vectors of all documents, which give the centres.
+    to both sides of its widest spread, which ``STEPS`` of a power iteration look for.
+    Every step and every round of a level goes over the vectors of all documents.
     Nodes of fewer than ``least`` documents stay whole.
     """
     shared = tokens.sparkSession.sparkContext.broadcast(space)
@@ -366,19 +361,23 @@ def _clustered(tokens: DataFrame, space: Space, k: int, seed: int, least: int, n
             v = shared.value.vectors(b).astype(np.float32)
             yield _table(v=pa.array([v[np.abs(v).sum(axis=1) > 0].tobytes()], pa.binary()))
 
-    points = cut(tokens.mapInArrow(vectors, "v binary"))
+    points = tokens.mapInArrow(vectors, "v binary")
+    if n_docs > IN_DRIVER:
+        points = cut(points)
+    else:
+        few = [np.frombuffer(x, np.float32).reshape(-1, space.width()) for x in points.toPandas().v]
+        points = np.concatenate([np.zeros((0, space.width()), np.float32), *few])
     tree = Tree(space.width())
     sums, counts = _sums_of_leaves(points, tree)
     if not counts.sum():
         return None
-    some = tokens.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_docs)) < BEGUN_ON) if n_docs > BEGUN_ON else tokens
-    first = [np.frombuffer(x, np.float32).reshape(-1, tree.dimensions) for x in some.mapInArrow(vectors, "v binary").toPandas().v]
-    begun = np.concatenate(first) if first else np.zeros((0, tree.dimensions), np.float32)
-    node = np.zeros(len(begun), np.int64)
     rng = np.random.default_rng(seed)
     for _ in range(max(1, int(np.ceil(np.log2(k))))):
         centres = _unit(sums)
-        apart = 0.05 * _widest(begun, node, rng.normal(size=centres.shape))
+        means, direction = sums / np.maximum(1, counts)[:, None], _unit(rng.normal(size=centres.shape))
+        for _ in range(STEPS):
+            direction = _unit(direction * 1e-6 + _sums_of_leaves(points, tree, (means, direction))[0])
+        apart = 0.05 * direction
         # the largest nodes are halved, as many as leave at most k leaves
         spare = max(0, k - int((counts > 0).sum()))
         whole = counts < least
@@ -387,18 +386,13 @@ def _clustered(tokens: DataFrame, space: Space, k: int, seed: int, least: int, n
         halves[whole, 0], halves[whole, 1] = centres[whole], -centres[whole]
         tree.levels.append(halves.reshape(-1, tree.dimensions))
         moving = ~np.repeat(whole, 2)
-        n, before = len(tree.levels[-1]), None
-        for step in range(ROUNDS + PASSES):
-            if step < ROUNDS:
-                leaf = tree.leaf_of(begun, node)
-                if before is not None and (leaf == before).all():
-                    continue  # settled on these vectors
-                before = leaf
-                sums, counts = _added(begun, leaf, n)
-            else:
-                sums, counts = _sums_of_leaves(points, tree)
+        before = None
+        for _ in range(ROUNDS):
+            sums, counts = _sums_of_leaves(points, tree)
+            if before is not None and np.array_equal(counts, before[1]) and np.allclose(sums, before[0], atol=1e-6):
+                break  # settled
+            before = sums, counts
             tree.levels[-1] = np.where((moving & (counts > 0))[:, None], _unit(sums), tree.levels[-1])
-        node = tree.leaf_of(begun, node)
     return _unit(sums[counts > 0])
 
 
@@ -535,19 +529,20 @@ def _described(odds: np.ndarray, weights: np.ndarray, words: list[list[int]]) ->
     return score / np.maximum(1.0, score.sum(axis=1, keepdims=True))
 
 
-def _leaf_subjects(found: pd.DataFrame, labels: dict[int, list[int]], described: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def _leaf_subjects(found: list, described: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """P(subject | leaf), the leaf's mixture.
 
     Evidence is how far a leaf's discriminative terms are the subjects' own words
     (``described``) and annotated documents, each of which is in its leaf for one of its
-    subjects: expectation maximisation shares a document out among them. Leaves with few
+    subjects: expectation maximisation shares a document out among them. ``found`` has the
+    number ``n`` of annotated documents for each leaf and set of subjects (``places``). Leaves with few
     annotated documents lean on leaves near to them.
     """
     n_leaves, n_subjects = described.shape
     allowed = np.zeros((len(found), n_subjects))
-    for i, doc in enumerate(found.doc_id):
-        allowed[i, labels[doc]] = 1
-    leaf = found.leaf.to_numpy()
+    for i, r in enumerate(found):
+        allowed[i, r.places] = 1
+    leaf, n = np.array([r.leaf for r in found], np.int64), np.array([r.n for r in found], float)
     plain = centres[:, :DIMENSIONS] / np.maximum(np.linalg.norm(centres[:, :DIMENSIONS], axis=1, keepdims=True), 1e-9)
     language = centres[:, DIMENSIONS:].argmax(axis=1)
     near = np.maximum(0, plain @ plain.T) ** 3 * (language[:, None] == language[None, :])
@@ -557,7 +552,7 @@ def _leaf_subjects(found: pd.DataFrame, labels: dict[int, list[int]], described:
         shared = allowed * p[leaf]
         shared /= np.maximum(shared.sum(axis=1, keepdims=True), 1e-12)
         counts = DESCRIBED * described
-        np.add.at(counts, leaf, shared)
+        np.add.at(counts, leaf, shared * n[:, None])
         weight = near * np.minimum(3, counts.sum(axis=1))
         lean = weight @ (counts / np.maximum(1e-9, counts.sum(axis=1, keepdims=True)))
         lean *= LEAN / np.maximum(LEAN, lean.sum(axis=1, keepdims=True))  # at most as much as LEAN documents
@@ -614,12 +609,9 @@ def _fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame, leaves: i
         raise ValueError(f"more than {MAX_SUBJECTS} subject areas")
     names = [r.subject for r in rows]
     place = {s: i for i, s in enumerate(names)}
-    known = F.broadcast(spark.createDataFrame([(s,) for s in names], "subject string"))  # at most MAX_SUBJECTS
-    chosen = labels.where("doc_id is not null").join(known, "subject").select("doc_id", "subject").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(LABEL_SAMPLE).collect()
-    annotated: dict[int, list[int]] = {}
-    for r in chosen:
-        annotated.setdefault(r.doc_id, []).append(place[r.subject])
-    if not annotated:
+    known = F.broadcast(spark.createDataFrame(list(place.items()), "subject string, place int"))  # at most MAX_SUBJECTS
+    annotated = labels.where("doc_id is not null").join(known, "subject").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sort_array(F.collect_set("place")).alias("places"))
+    if annotated.isEmpty():
         return None
 
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
@@ -654,11 +646,11 @@ def _fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame, leaves: i
     leaf_language = centres[:, DIMENSIONS:].argmax(axis=1)
     tokens = _placed(tokens, space, centres)
     leaf_terms = _counted(tokens, len(centres), lambda b: b.leaf[b.doc_of_term], once=True)
-    ids = F.broadcast(spark.createDataFrame([(d,) for d in annotated], "doc_id bigint"))  # at most LABEL_SAMPLE
-    found = tokens.select("doc_id", "leaf").join(ids, "doc_id", "left_semi").toPandas()
+    # a row for each leaf and set of subjects
+    found = tokens.select("doc_id", "leaf").join(unpriced(annotated), "doc_id").groupBy("leaf", "places").agg(F.count(F.lit(1)).alias("n")).orderBy("leaf", "places").collect()
     words = [sorted(set(terms_of(f"{r.subject} {r.d}".lower())[0])) for r in rows]
     own_words = _described(_discriminative(leaf_terms, leaf_language), space.weights[leaf_language], words)
-    mixtures = _leaf_subjects(found, annotated, own_words, centres)
+    mixtures = _leaf_subjects(found, own_words, centres)
     # leaves hand their terms to subjects in proportion to their mixtures
     within = np.eye(n_languages)[leaf_language]
     first = Subjects(space, np.einsum("lg,ls,lt->gst", within, mixtures, leaf_terms), len(names))
@@ -680,8 +672,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame,
     annotations (doc_id, subject) of others are ignored. Documents that are null, empty or
     without running text (fewer than two full sentences) have none, nor have any documents
     where nothing is annotated. Rows with a null id are left out; an id that comes with
-    several texts gets the subjects of each text. Of the annotations ``LABEL_SAMPLE`` in
-    hash order are used, everything else uses all rows.
+    several texts gets the subjects of each text. All rows and all annotations are used.
     """
     spark = documents.sparkSession
     model = _fitted(documents, labels, areas, leaves, seed)

@@ -3,6 +3,7 @@ import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from mnemograph.llm import subjects as sj
 
@@ -126,3 +127,17 @@ def test_a_description_names_a_leaf():
     odds[0, 5], odds[1, 9] = 2.0, 3.0
     got = sj._described(odds, np.ones((2, sj.TERMS)), [[5], [9, 11], []])
     assert got.argmax(axis=1).tolist() == [0, 1] and (got.sum(axis=1) <= 1 + 1e-9).all()
+
+
+def test_all_vectors_and_annotations_count(spark, result, monkeypatch):
+    """No bound on vectors or annotations changes the model, whether Spark or the driver adds up."""
+    _, _, frames = result
+    whole = sj._fitted(*frames, 8, 11)
+    for bound in ("BEGUN_ON", "LABEL_SAMPLE", "IN_DRIVER"):
+        monkeypatch.setattr(sj, bound, 40, raising=False)
+    again = sj._fitted(*frames, 8, 11)
+    assert np.allclose(whole.centres, again.centres, atol=1e-4) and np.allclose(whole.mixtures, again.mixtures, atol=1e-4)
+    # an annotation more of each kind counts as much
+    many = sj._leaf_subjects([Row(leaf=0, places=[0, 1], n=3), Row(leaf=0, places=[1], n=2)], np.zeros((1, 2)), np.eye(1, sj.DIMENSIONS + 1))
+    each = sj._leaf_subjects([Row(leaf=0, places=p, n=1) for p in ([0, 1], [0, 1], [0, 1], [1], [1])], np.zeros((1, 2)), np.eye(1, sj.DIMENSIONS + 1))
+    assert np.allclose(many, each)
