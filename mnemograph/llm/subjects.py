@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +29,12 @@ from mnemograph.session import cut, unpriced
 TERMS, DIMENSIONS = 1 << 14, 64
 #: terms and dimensions that the coarse clusters go by
 FREQUENT, COARSE_DIMENSIONS = 400, 32
-#: steps towards the widest spread of a node, and rounds of a level, at most; each goes over all vectors
+#: steps towards the widest spread of a node, from the products of all its vectors, and rounds of a level, at most; each goes over all vectors
 STEPS, ROUNDS = 4, 6
 #: documents up to which the vectors are added up in the driver, by the same steps and rounds
 IN_DRIVER = 20_000
+#: bytes of vectors that a task goes over in a round, and of sums that all tasks of a round may send to the driver without being added up before
+TASK_BYTES, SENT_BYTES = 1 << 24, 1 << 20
 #: most subject areas: a model has a number for each of them and each term
 MAX_SUBJECTS = 2_000
 TOKENS = "doc_id bigint, terms array<int>, lens array<int>, paras array<int>"
@@ -57,10 +58,12 @@ NEAR_LEAVES, SHARPNESS = 3, 8.0
 #: documents whose vectors are one row
 PACKED = 1000
 
-_BREAK = re.compile(r"(?<=[.!?])[\"'”’»)]*\s+|(?<=[。！？])")
+_BREAK = re.compile(r"[.!?][\"'”’»)]*\s+|[。！？]")
 _END = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _CJK = re.compile("[一-鿿]+")
+#: ASCII letters, all else as blanks
+_LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 _MARK = re.compile(r"^\s*(?:[*•\-–>]+\s+|\d+[.)]\s+)?")
 _YEAR = re.compile(r"\d{4}\.(?:\s|$)")
 _STOPS = frozenset(".!?。！？")
@@ -80,7 +83,27 @@ class _Terms(dict):
         return term
 
 
-_TERM = _Terms()
+class _SmallTerms(_Terms):
+    """The same of words in small letters, of others -1."""
+
+    def __missing__(self, word: str) -> int:
+        if word.islower():
+            return super().__missing__(word)
+        if len(self) < 1 << 17:
+            self[word] = -1
+        return -1
+
+
+_TERM, _SMALL_TERM = _Terms(), _SmallTerms()
+
+
+def _broken(text: str) -> list[str]:
+    """Parts that end with a stop; quotes and blanks after it are left out."""
+    out, begin = [], 0
+    for stop in _BREAK.finditer(text):
+        out.append(text[begin : stop.start() + 1])
+        begin = stop.end()
+    return [*out, text[begin:]]
 
 
 def _stopped(line: str) -> bool:
@@ -102,7 +125,7 @@ def sentences(text: str) -> list[tuple[int, str]]:
 
     def close() -> None:
         if run:
-            for part in _BREAK.split("".join(run)):
+            for part in _broken("".join(run)):
                 part = part.strip()
                 if _stopped(part):
                     out.append((paragraph, part))
@@ -122,7 +145,7 @@ def sentences(text: str) -> list[tuple[int, str]]:
             close()
             paragraph += 1
             value = line[label.end() :]
-            if len([x for x in _BREAK.split(value) if x]) < 2:
+            if len([x for x in _broken(value) if x]) < 2:
                 if _stopped(value) or at + 1 == len(lines) or not lines[at + 1] or lines[at + 1][0] == "#" or field(at + 1):
                     continue
             starts, line = True, value
@@ -154,20 +177,20 @@ def sentences(text: str) -> list[tuple[int, str]]:
 
 def terms_of(sentence: str) -> tuple[list[int], bool]:
     """Hashed words without names, of German with them, CJK characters in pairs; is it a full sentence."""
-    words = _WORD.findall(sentence)
     if sentence.isascii():
+        words = [w for w in sentence.encode().translate(_LETTERS).decode().split() if len(w) > 1]
         runs = []
     else:
+        words = _WORD.findall(sentence)
         runs = _CJK.findall(sentence)
         if runs:
             words = [w for w in words if not _CJK.match(w)]
     full = len(words) >= MIN_WORDS or sum(map(len, runs)) >= MIN_CJK
     if len(_GERMAN.intersection(words)) > 1:
-        kept = [w.lower() for w in words]
+        terms = [_TERM[w.lower()] for w in words]
     else:
-        kept = [w for w in words[1:] if w.islower()] + [w.lower() for w in words[:1]]
-    kept += [run[i : i + 2] for run in runs for i in range(len(run) - 1)]
-    return [_TERM[w] for w in kept], full
+        terms = [t for w in words[1:] if (t := _SMALL_TERM[w]) >= 0] + [_TERM[w.lower()] for w in words[:1]]
+    return terms + [_TERM[run[i : i + 2]] for run in runs for i in range(len(run) - 1)], full
 
 
 def _lists(values: list[np.ndarray] | np.ndarray, lengths: list[int] | np.ndarray) -> pa.ListArray:
@@ -274,7 +297,12 @@ class Space:
         language = self.of_language(b)
         weight = self.weights[language[b.doc_of_term], b.terms] if len(self.weights) > 1 else self.weights[0, b.terms]
         some = np.flatnonzero(weight)
-        v = _sums(_projection(self.dimensions)[b.terms[some]] * weight[some, None], b.doc_of_term[some], b.n)
+        weight, terms = weight[some], b.terms[some]
+        ends = np.cumsum(np.bincount(b.doc_of_term[some], minlength=b.n)).tolist()
+        v, directions = np.zeros((b.n, self.dimensions), np.float32), _projection(self.dimensions)
+        for doc, (begin, end) in enumerate(zip([0, *ends], ends)):  # the terms of one document stay in the processor's cache
+            if begin < end:
+                np.matmul(weight[begin:end], directions[terms[begin:end]], out=v[doc])
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         v /= np.maximum(norm, 1e-9)
         if self.language is None:
@@ -300,46 +328,87 @@ class Tree:
         return node
 
 
-def _added(v: np.ndarray, leaf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and counts of the vectors of each leaf."""
+def _of_leaves(v: np.ndarray, tree: Tree) -> np.ndarray:
+    """(leaves x dimensions + 1): sums of the vectors of each leaf, and behind them their counts."""
+    leaf, n = tree.leaf_of(v), 2 ** len(tree.levels)
     order = np.argsort(leaf, kind="stable")
-    return _sums(v[order].astype(np.float64), leaf[order], n), np.bincount(leaf, minlength=n)
+    return np.concatenate([_sums(v[order].astype(np.float64), leaf[order], n), np.bincount(leaf, minlength=n)[:, None]], axis=1)
 
 
-def _of_leaves(v: np.ndarray, tree: Tree, spread: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and counts of the vectors of each leaf; with ``spread``, means and directions of the
-    leaves, sums of how far the vectors are from the mean, times how far along the direction."""
+def _with_products(v: np.ndarray, tree: Tree) -> np.ndarray:
+    """What ``_of_leaves`` adds up, and behind it the products of any two dimensions, added up over the vectors of each leaf."""
     leaf = tree.leaf_of(v)
-    if spread is not None:
-        means, direction = spread
-        v = v - means[leaf]
-        v = v * np.einsum("nd,nd->n", v, direction[leaf])[:, None]
-    return _added(v, leaf, 2 ** len(tree.levels))
-
-
-def _sums_of_leaves(points: DataFrame | np.ndarray, tree: Tree, spread: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """What ``_of_leaves`` adds up over all points; in Spark, a number for each leaf and dimension."""
-    if isinstance(points, np.ndarray):
-        return _of_leaves(points, tree, spread)
-    shared = points.sparkSession.sparkContext.broadcast((tree, spread))
-    n, d = 2 ** len(tree.levels), tree.dimensions
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((n, d + 1))
-        for batch in batches:
-            for packed in batch.column("v"):
-                v = np.frombuffer(packed.as_buffer(), np.float32).reshape(-1, d)
-                total, count = _of_leaves(v, *shared.value)
-                sums[:, :d] += total
-                sums[:, d] += count
-        some = np.flatnonzero(sums)
-        yield _table(place=some.astype(np.int64), total=sums.ravel()[some])
+    order = np.argsort(leaf, kind="stable")
+    v, counts = v[order].astype(np.float64), np.bincount(leaf, minlength=2 ** len(tree.levels))
+    v = np.concatenate([v, np.ones((len(v), 1))], axis=1)
+    out = np.zeros((len(counts), tree.dimensions + 1, tree.dimensions + 1))
+    ends = np.cumsum(counts)
+    for i in np.flatnonzero(counts):
+        own = v[ends[i] - counts[i] : ends[i]]
+        out[i] = own.T @ own
+    return np.concatenate([out[:, -1], out[:, :-1, :-1].reshape(len(out), -1)], axis=1)
 
-    rows = points.mapInArrow(add, "place bigint, total double").groupBy("place").agg(F.sum("total").alias("total")).toPandas()
-    out = np.zeros(n * (d + 1))
-    out[rows.place] = rows.total
-    out = out.reshape(n, d + 1)
-    return out[:, :d], out[:, d]
+
+def _lines(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each line of numbers."""
+    if sums:
+        yield _table(row=pa.array(list(sums), pa.int32()), line=pa.array([line.tobytes() for line in sums.values()], pa.binary()))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one row added up."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row, packed in zip(batch.column("row").to_pylist(), batch.column("line")):
+            line = np.frombuffer(packed.as_buffer())
+            sums[row] = sums[row] + line if row in sums else line
+    yield from _lines(sums)
+
+
+class Points:
+    """The vectors of all documents, in the driver where they are few, else packed in tasks of ``TASK_BYTES``."""
+
+    def __init__(self, packed: DataFrame, dimensions: int, n_docs: int):
+        self.dimensions = dimensions
+        if n_docs > IN_DRIVER:
+            self.tasks = -(-n_docs * dimensions * 4 // TASK_BYTES)
+            self.packed, self.few = cut(packed).coalesce(self.tasks), None
+        else:
+            few = [np.frombuffer(x, np.float32).reshape(-1, dimensions) for x in packed.toPandas().v]
+            self.few = np.concatenate([np.zeros((0, dimensions), np.float32), *few])
+
+    def added(self, of, width: int, tree: Tree) -> np.ndarray:
+        """(leaves x width): ``of(vectors, tree)``, added up over all vectors."""
+        if self.few is not None:
+            return of(self.few, tree)
+        shared, dimensions = self.packed.sparkSession.sparkContext.broadcast(tree), self.dimensions
+        out = np.zeros((2 ** len(tree.levels), width))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = 0
+            for batch in batches:
+                for packed in batch.column("v"):
+                    sums = sums + of(np.frombuffer(packed.as_buffer(), np.float32).reshape(-1, dimensions), shared.value)
+            yield from _lines({i: sums[i] for i in np.flatnonzero(np.any(sums, axis=1)).tolist()} if np.ndim(sums) else {})
+
+        lines = self.packed.mapInArrow(add, "row int, line binary")
+        if self.tasks * out.nbytes > SENT_BYTES:
+            lines = lines.repartition("row").mapInArrow(_merged, "row int, line binary")
+        for r in lines.collect():
+            out[r.row] += np.frombuffer(r.line)
+        return out
+
+    def sums(self, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and counts of the vectors of each leaf."""
+        out = self.added(_of_leaves, self.dimensions + 1, tree)
+        return out[:, :-1], out[:, -1]
+
+    def spreads(self, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums and counts, and (leaves x dimensions x dimensions) products of how far the vectors of each leaf are from its mean."""
+        d = self.dimensions
+        out = self.added(_with_products, d + 1 + d * d, tree)
+        sums, counts, products = out[:, :d], out[:, d], out[:, d + 1 :].reshape(-1, d, d)
+        return sums, counts, products - np.einsum("nd,ne->nde", sums, sums) / np.maximum(1, counts)[:, None, None]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -350,8 +419,9 @@ def _clustered(tokens: DataFrame, space: Space, k: int, seed: int, least: int, n
     """Unit centres of at most k leaves of a bisecting k-means over all documents.
 
     All nodes of a level are halved at once: a node starts from its centre moved a little
-    to both sides of its widest spread, which ``STEPS`` of a power iteration look for.
-    Every step and every round of a level goes over the vectors of all documents.
+    to both sides of its widest spread, which ``STEPS`` of a power iteration look for. The
+    vectors of all documents are gone over once for the products that all steps of a level
+    go by, and in every round.
     Nodes of fewer than ``least`` documents stay whole.
     """
     shared = tokens.sparkSession.sparkContext.broadcast(space)
@@ -361,22 +431,17 @@ def _clustered(tokens: DataFrame, space: Space, k: int, seed: int, least: int, n
             v = shared.value.vectors(b).astype(np.float32)
             yield _table(v=pa.array([v[np.abs(v).sum(axis=1) > 0].tobytes()], pa.binary()))
 
-    points = tokens.mapInArrow(vectors, "v binary")
-    if n_docs > IN_DRIVER:
-        points = cut(points)
-    else:
-        few = [np.frombuffer(x, np.float32).reshape(-1, space.width()) for x in points.toPandas().v]
-        points = np.concatenate([np.zeros((0, space.width()), np.float32), *few])
+    points = Points(tokens.mapInArrow(vectors, "v binary"), space.width(), n_docs)
     tree = Tree(space.width())
-    sums, counts = _sums_of_leaves(points, tree)
-    if not counts.sum():
-        return None
     rng = np.random.default_rng(seed)
     for _ in range(max(1, int(np.ceil(np.log2(k))))):
+        sums, counts, spreads = points.spreads(tree)
+        if not counts.sum():
+            return None
         centres = _unit(sums)
-        means, direction = sums / np.maximum(1, counts)[:, None], _unit(rng.normal(size=centres.shape))
+        direction = _unit(rng.normal(size=centres.shape))
         for _ in range(STEPS):
-            direction = _unit(direction * 1e-6 + _sums_of_leaves(points, tree, (means, direction))[0])
+            direction = _unit(direction * 1e-6 + np.einsum("nde,ne->nd", spreads, direction))
         apart = 0.05 * direction
         # the largest nodes are halved, as many as leave at most k leaves
         spare = max(0, k - int((counts > 0).sum()))
@@ -388,7 +453,7 @@ def _clustered(tokens: DataFrame, space: Space, k: int, seed: int, least: int, n
         moving = ~np.repeat(whole, 2)
         before = None
         for _ in range(ROUNDS):
-            sums, counts = _sums_of_leaves(points, tree)
+            sums, counts = points.sums(tree)
             if before is not None and np.array_equal(counts, before[1]) and np.allclose(sums, before[0], atol=1e-6):
                 break  # settled
             before = sums, counts
@@ -477,9 +542,25 @@ def _placed(tokens: DataFrame, space: Space, centres: np.ndarray) -> DataFrame:
     return cut(tokens.mapInArrow(place, TOKENS + ", coarse int, leaf int, near array<int>, shares array<float>"))
 
 
-def _emitted(counts: np.ndarray) -> pa.RecordBatch:
-    leaf, term = np.nonzero(counts)
-    return _table(leaf=leaf.astype(np.int32), term=term.astype(np.int32), n=counts[leaf, term].astype(np.int64))
+def _emitted(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each group with what it uses, its terms and counts packed."""
+    some = np.flatnonzero(counts.any(axis=1))
+    for low in range(0, len(some), 256):
+        rows = some[low : low + 256]
+        terms = [np.flatnonzero(counts[row]) for row in rows]
+        packed = [t.astype(np.int32).tobytes() for t in terms], [counts[row, t].tobytes() for row, t in zip(rows, terms)]
+        yield _table(row=rows.astype(np.int32), term=pa.array(packed[0], pa.binary()), n=pa.array(packed[1], pa.binary()))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the tasks counted for a group, added up to one line."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row, term, n in zip(batch.column("row").to_pylist(), batch.column("term"), batch.column("n")):
+            if row not in sums:
+                sums[row] = np.zeros(TERMS, np.int64)
+            sums[row][np.frombuffer(term.as_buffer(), np.int32)] += np.frombuffer(n.as_buffer(), np.int64)
+    yield from _lines({row: line.astype(np.float32) for row, line in sums.items()})
 
 
 def _counted(tokens: DataFrame, n_groups: int, groups, documents: bool = False, once: bool = False) -> np.ndarray:
@@ -492,29 +573,22 @@ def _counted(tokens: DataFrame, n_groups: int, groups, documents: bool = False,
     n_rows = n_groups * (1 + documents)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((n_rows, TERMS), np.int64)
+        counts = np.zeros(n_rows * TERMS, np.int64)
         for b in _parts(batches):
-            group, terms = groups(b), b.terms
-            if documents:
-                _, first = np.unique(b.doc_of_term * TERMS + terms, return_index=True)
-                group, terms = np.concatenate([group, group[first] + n_groups]), np.concatenate([terms, terms[first]])
-            elif once:
-                cell = np.unique((b.doc_of_term * (n_groups + 1) + group + 1) * TERMS + terms)
-                group, terms = cell // TERMS % (n_groups + 1) - 1, cell % TERMS
-            own = group >= 0
-            counts += np.bincount(group[own] * TERMS + terms[own], minlength=n_rows * TERMS).reshape(n_rows, TERMS)
-        yield _emitted(counts)
-
-    summed = tokens.mapInArrow(count, "leaf int, term int, n bigint").groupBy("leaf", "term").agg(F.sum("n").alias("n"))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        line = np.zeros(TERMS, np.float32)
-        line[rows.term.to_numpy()] = rows.n
-        return pd.DataFrame({"leaf": [int(rows.leaf.iloc[0])], "line": [line.tobytes()]})
-
+            group = groups(b)
+            own = np.flatnonzero(group >= 0)
+            cell = group[own] * TERMS + b.terms[own]
+            if not once:
+                np.add.at(counts, cell, 1)
+            if documents or once:
+                single = np.unique(b.doc_of_term[own] * (n_groups * TERMS) + cell) % (n_groups * TERMS)
+                np.add.at(counts[documents * n_groups * TERMS :], single, 1)
+        yield from _emitted(counts.reshape(n_rows, TERMS))
+
+    packed = tokens.mapInArrow(count, "row int, term binary, n binary").repartition("row")
     out = np.zeros((n_rows, TERMS))
-    for row in summed.groupBy("leaf").applyInPandas(pack, "leaf int, line binary").collect():  # a row for each group
-        out[row.leaf] = np.frombuffer(row.line, np.float32)
+    for r in packed.mapInArrow(_unpacked, "row int, line binary").collect():  # a row for each group
+        out[r.row] = np.frombuffer(r.line, np.float32)
     return out
 
 

@@ -141,3 +141,45 @@ def test_all_vectors_and_annotations_count(spark, result, monkeypatch):
     many = sj._leaf_subjects([Row(leaf=0, places=[0, 1], n=3), Row(leaf=0, places=[1], n=2)], np.zeros((1, 2)), np.eye(1, sj.DIMENSIONS + 1))
     each = sj._leaf_subjects([Row(leaf=0, places=p, n=1) for p in ([0, 1], [0, 1], [0, 1], [1], [1])], np.zeros((1, 2)), np.eye(1, sj.DIMENSIONS + 1))
     assert np.allclose(many, each)
+
+
+def test_steps_share_one_pass(spark, result, monkeypatch):
+    """A level goes over the vectors once for all its steps, in tasks of their own size, and comes to the same leaves."""
+    _, _, frames = result
+    passes = []
+
+    def recorded(points, of, *rest, added=sj.Points.added):
+        passes.append((of, points.few is None and points.packed.rdd.getNumPartitions()))
+        return added(points, of, *rest)
+
+    monkeypatch.setattr(sj.Points, "added", recorded)
+    whole = sj._fitted(*frames, 8, 11)
+    levels = 3 + 3  # of 8 coarse clusters and of 8 leaves
+    assert len([of for of, _ in passes if of is sj._with_products]) == levels and len(passes) <= levels * (1 + sj.ROUNDS)
+    for tasks, sent in ((1 << 24, 1 << 20), (1 << 16, 0)):  # one task, and several that are added up before
+        passes.clear()
+        for name, value in (("IN_DRIVER", 40), ("TASK_BYTES", tasks), ("SENT_BYTES", sent)):
+            monkeypatch.setattr(sj, name, value)
+        again = sj._fitted(*frames, 8, 11)
+        assert np.allclose(whole.centres, again.centres, atol=1e-4) and np.allclose(whole.mixtures, again.mixtures, atol=1e-4)
+        assert (max(n for _, n in passes) == 1) == (tasks == 1 << 24)
+
+
+def test_spreads_are_those_of_all_vectors():
+    rng = np.random.default_rng(3)
+    v = sj._unit(rng.normal(size=(500, 6)) * [4, 1, 1, 1, 1, 2]).astype(np.float32)
+    points, tree = sj.Points.__new__(sj.Points), sj.Tree(6)
+    points.dimensions, points.few = 6, v
+    tree.levels.append(sj._unit(rng.normal(size=(2, 6))))
+    sums, counts, spreads = points.spreads(tree)
+    leaf = tree.leaf_of(v)
+    for i in range(2):
+        own = v[leaf == i].astype(float)
+        assert counts[i] == len(own) and np.allclose(sums[i], own.sum(axis=0)) and np.allclose(spreads[i], len(own) * np.cov(own.T, bias=True))
+
+
+def test_terms_by_bytes_and_by_letters():
+    got, full = sj.terms_of("He saw a harbour's tide, I said: 2 reefs near McCoy-lane x.")
+    assert got == [sj._TERM[w] for w in "saw harbour tide said reefs near lane he".split()] and full
+    assert sj.terms_of("Der Hafen war still und Bremen wurde reich.")[0] == [sj._TERM[w] for w in "der hafen war still und bremen wurde reich".split()]
+    assert sj._broken('One." Two?! 三。四 (end.)') == ["One.", "Two?!", "三。", "四 (end.)"]
